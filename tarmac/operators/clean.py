@@ -83,8 +83,11 @@ def clean_flights(raw: DataFrame, dismissed: list[str] | None = None) -> DataFra
     df = trim_headers(drop_columns(raw, dismissed))
     parts = {p for pair in CITY_STATE_PARTS.values() for p in pair}
     df = df.dropna(how="any", subset=[c for c in df.columns if c not in parts])
-    df = derive_times(df)
-    return merge_city_state(df)
+    df = merge_city_state(derive_times(df))
+    # canonical layout: carried columns (e.g. a row id) first, then the clean record
+    from tarmac.schema import CLEAN_COLUMNS
+    clean_cols = [c for c in CLEAN_COLUMNS if c in df.columns]
+    return df.select(*[c for c in df.columns if c not in clean_cols], *clean_cols)
 
 
 def typed_select(df: DataFrame, schema: T.StructType, lenient: bool = True) -> DataFrame:

@@ -380,8 +380,11 @@ def q_weekday_names(spark, sf):
 
 
 # ---------------------------------------------------------------- JSON payloads
-_PAYLOAD_DUCK = "to_json(to_json(struct_pack(" + ", ".join(
-    f"{c} := cast({c} AS varchar)" for c in CLEAN_COLUMN_NAMES) + "))::varchar)::varchar"
+# members in the clean table's column order: the row id, then the 26 clean columns
+PAYLOAD_MEMBERS = ["flight_id"] + CLEAN_COLUMNS
+_STRUCT_DUCK = "to_json(struct_pack(" + ", ".join(
+    f"{c} := cast({c} AS varchar)" for c in PAYLOAD_MEMBERS) + "))::varchar"
+_PAYLOAD_DUCK = f"to_json({_STRUCT_DUCK})::varchar"
 
 
 @register("publish_json", with_views(
@@ -392,9 +395,7 @@ def q_publish_json(spark, sf):
 
 
 @register("json_unescape", with_views(
-    f"SELECT flight_id, to_json(struct_pack(" + ", ".join(
-        f"{c} := cast({c} AS varchar)" for c in CLEAN_COLUMN_NAMES)
-    + "))::varchar AS jsonvalue FROM flights_clean", "flights_clean"))
+    f"SELECT flight_id, {_STRUCT_DUCK} AS jsonvalue FROM flights_clean", "flights_clean"))
 def q_json_unescape(spark, sf):
     clean = flights_clean(spark, sf)
     payload = json_literal(json_object_of_strings(clean.columns))

@@ -1 +1,230 @@
-"""placeholder"""
+"""Streaming queries.
+
+Each one publishes the clean flights as message files (two batches) in the
+shared folder, runs a Structured Streaming query over them to completion
+(``availableNow``), and returns what the sink holds -- so a stream is checked
+against the batch answer for the same rows.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarmac.functions.json import json_object_of_strings
+from tarmac.operators.profile import last_rows
+from tarmac.plans import jobs as J
+from tarmac.plans import models as MO
+from tarmac.registry import register
+from tarmac.registry.batch import _PAYLOAD_DUCK, _STRUCT_DUCK
+from tarmac.registry.sql import CLEAN_COLUMN_NAMES, with_views
+from tarmac.schema import CLEAN_COLUMNS, DELAY_THRESHOLD_STREAM
+from tarmac.session import shared_path
+from tarmac.sources import catalog as CA
+from tarmac.sources.fixtures import flights_clean, read_table
+from tarmac.sources.kafka import envelope_view
+from tarmac.streaming import queries as SQ
+from tarmac.streaming.decode import decode_flights, decode_paths
+from tarmac.streaming.publish import envelope, write_message_files
+
+T5 = DELAY_THRESHOLD_STREAM
+_LABEL_SQL = f"CASE WHEN ArrDelay > {T5} THEN 1 ELSE 0 END"
+_DECODED_SQL = with_views(
+    f"SELECT {', '.join(CLEAN_COLUMNS)}, {_LABEL_SQL} AS Tem_ArrDelay FROM flights_clean", "flights_clean")
+
+
+def _name(prefix: str) -> str:
+    return f"{prefix}_{uuid.uuid4().hex[:10]}"
+
+
+def _feed(spark, sf, batches: int = 2) -> str:
+    """Message files of the clean flights (every column, id included), in ``batches`` folders."""
+    path = shared_path(spark, "feed")
+    write_message_files(flights_clean(spark, sf), path, batches=batches)
+    return path
+
+
+def _stream(spark, path, max_files=None):
+    return SQ.message_file_stream(spark, f"{path}/*", max_files)
+
+
+def _run_append(spark, df, prefix):
+    name = _name(prefix)
+    out, ckpt = shared_path(spark, f"{prefix}-out"), shared_path(spark, f"{prefix}-ckpt")
+    q = SQ.start_append(df, name, out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _run_complete(spark, df, prefix):
+    name = _name(prefix)
+    q = SQ.start_complete(df, name, shared_path(spark, f"{prefix}-ckpt"))
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@register("stream_source", with_views(f"SELECT {_PAYLOAD_DUCK} AS value FROM flights_clean", "flights_clean"))
+def q_stream_source(spark, sf):
+    return _run_append(spark, _stream(spark, _feed(spark, sf)), "source")
+
+
+@register("decode_stream", _DECODED_SQL)
+def q_decode_stream(spark, sf):
+    return _run_append(spark, decode_flights(_stream(spark, _feed(spark, sf))), "decode")
+
+
+@register("json_fields", with_views(
+    "SELECT " + ", ".join(f"cast({c} AS varchar) AS {c}" for c in CLEAN_COLUMNS) + " FROM flights_clean",
+    "flights_clean"))
+def q_json_fields(spark, sf):
+    # the 26 single-path extractions over the published messages (batch read of the feed)
+    msgs = spark.read.text(f"{_feed(spark, sf, 1)}/*")
+    return decode_paths(msgs)
+
+
+@register("stream_append_table", _DECODED_SQL)
+def q_stream_append_table(spark, sf):
+    name = _name("flights_live")
+    out = shared_path(spark, "live")
+    q = SQ.start_append(decode_flights(_stream(spark, _feed(spark, sf))), name, out,
+                        shared_path(spark, "live-ckpt"))
+    q.awaitTermination()
+    CA.register_path(spark, name, out)
+    return CA.read_sink(spark, name)
+
+
+@register("stream_count", with_views("SELECT count(*) AS count FROM flights_clean", "flights_clean"))
+def q_stream_count(spark, sf):
+    return _run_complete(spark, SQ.running_count(decode_flights(_stream(spark, _feed(spark, sf)))), "count")
+
+
+@register("stream_delay_distribution", with_views(
+    f"SELECT {_LABEL_SQL} AS Tem_ArrDelay, count(*) AS count FROM flights_clean GROUP BY 1", "flights_clean"))
+def q_stream_delay_distribution(spark, sf):
+    stream = decode_flights(_stream(spark, _feed(spark, sf)))
+    return _run_complete(spark, SQ.delay_distribution(stream), "dist")
+
+
+@register("stream_delays_by_weekday", with_views(
+    f"SELECT DayOfWeek, count(*) AS count FROM flights_clean WHERE ArrDelay > {T5} GROUP BY DayOfWeek",
+    "flights_clean"))
+def q_stream_delays_by_weekday(spark, sf):
+    stream = decode_flights(_stream(spark, _feed(spark, sf)))
+    return _run_complete(spark, SQ.delays_by_weekday(stream), "byday")
+
+
+def _model(spark, sf):
+    data = flights_clean(spark, sf).withColumn(J.LABEL, F.when(F.col("ArrDelay") > T5, 1).otherwise(0))
+    return J.classifier_pipeline(MO.logistic_regression(J.LABEL)).fit(data)
+
+
+def _scored_stream(spark, sf, max_files=None):
+    model = _model(spark, sf)
+    stream = decode_flights(_stream(spark, _feed(spark, sf), max_files))
+    return SQ.score_stream(stream, model)
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    scored = _scored_stream(spark, sf).select(*CLEAN_COLUMNS[:4], "ArrDelay", "Tem_ArrDelay", "prediction")
+    return _run_append(spark, scored, "score")
+
+
+@register("prediction_vs_truth")
+def q_prediction_vs_truth(spark, sf):
+    scored = _scored_stream(spark, sf)
+    visible = [c for c in CLEAN_COLUMNS if c in scored.columns and c != "ArrDelay"]
+    sink = _run_append(spark, scored.select(*visible, "ArrDelay", "Tem_ArrDelay", "prediction"), "pvt")
+    tail = last_rows(sink, 10)
+    return tail.select("prediction", "ArrDelay", "Tem_ArrDelay")
+
+
+@register("stream_report")
+def q_stream_report(spark, sf):
+    scored = _scored_stream(spark, sf, max_files=1)
+    out = shared_path(spark, "report")
+    q = SQ.start_report(scored, out, shared_path(spark, "report-ckpt"), _name("report"))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_status")
+def q_stream_status(spark, sf):
+    stream = decode_flights(_stream(spark, _feed(spark, sf)))
+    name = _name("status")
+    q = SQ.start_append(stream, name, shared_path(spark, "status-out"), shared_path(spark, "status-ckpt"))
+    q.awaitTermination()
+    return SQ.query_status(spark, q)
+
+
+# ---------------------------------------------------------------- envelope / catalog
+_ENVELOPE_TS = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(flight_id)"
+
+
+@register("sql_read_sink", with_views(
+    f"SELECT {_PAYLOAD_DUCK} AS value, 'flights' AS topic, {_ENVELOPE_TS} AS timestamp FROM flights_clean",
+    "flights_clean"))
+def q_sql_read_sink(spark, sf):
+    name = _name("flight")
+    path = shared_path(spark, "envelope")
+    envelope(flights_clean(spark, sf)).write.parquet(path)
+    CA.register_path(spark, name, path)
+    return CA.read_sink(spark, name, raw_envelope=True)
+
+
+@register("read_envelope", with_views(
+    "SELECT 'flights' AS topic, cast(flight_id % 3 AS int) AS partition, flight_id AS offset, "
+    f"cast(NULL AS varchar) AS key, {_STRUCT_DUCK} AS value FROM flights_clean",
+    "flights_clean"))
+def q_read_envelope(spark, sf):
+    return envelope_view(envelope(flights_clean(spark, sf)))
+
+
+@register("list_tables")
+def q_list_tables(spark, sf):
+    name = _name("flight")
+    CA.register_path(spark, name, FI_write(spark, sf))
+    return CA.list_tables(spark).filter(F.col("tableName") == name)
+
+
+@register("reset_table")
+def q_reset_table(spark, sf):
+    name = _name("flight")
+    CA.register_path(spark, name, FI_write(spark, sf))
+    CA.reset_table(spark, name)
+    return spark.createDataFrame(
+        [(name, spark.catalog.tableExists(name))], "name string, exists_after_reset boolean")
+
+
+def FI_write(spark, sf) -> str:
+    path = shared_path(spark, "table")
+    flights_clean(spark, sf).write.parquet(path)
+    return path
+
+
+# ---------------------------------------------------------------- events table
+_EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+
+@register("events_json_fields", "SELECT event_id, event_type, "
+          "CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
+def q_events_json_fields(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return ev.select("event_id", "event_type",
+                     F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@register("events_stream_counts", "SELECT event_type, count(*) AS count, "
+          "round(sum(value), 6) AS value FROM events GROUP BY event_type")
+def q_events_stream_counts(spark, sf):
+    # the driver's events table read as a stream of parquet files, counted per type
+    stream = (spark.readStream.schema(_EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
+              .parquet(sf))
+    agg = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("count"),
+                                           F.round(F.sum("value"), 6).alias("value"))
+    return _run_complete(spark, agg, "events")

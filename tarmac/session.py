@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "tarmac", shuffle_partitions: int = 8,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session used by tests and the bench. On a cluster, pass your own builder instead."""
     builder = (
         SparkSession.builder.master(master or "local[8]")
@@ -22,7 +22,7 @@ def build_session(master: str | None = None, app: str = "tarmac", shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TARMAC_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", driver_memory or os.environ.get("TARMAC_DRIVER_MEMORY", "8g"))
         # wide flight rows make generated methods exceed HotSpot's 8 KB JIT limit
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")

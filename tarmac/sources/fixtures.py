@@ -27,8 +27,19 @@ def _hhmm(minutes: Column) -> Column:
     return F.floor(m / 60) * 100 + m % 60
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the session's cores when a scan yields fewer partitions.
+
+    A small table stored as one parquet row group is read by one task; spreading it
+    lets the per-row work after the scan use every core. A large table already has
+    more splits than cores and is returned unchanged (no shuffle).
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    li = lineitem.select(*LINEITEM_COLUMNS)
+    li = spread(lineitem.select(*LINEITEM_COLUMNS))
     ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     crs = ((ok * 7) % 24) * 60 + pk % 60
     dep_m = crs + F.col("l_quantity").cast("bigint") - 10 + 1440
