@@ -111,27 +111,65 @@ def present_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in names if c in have]
 
 
+def _moment_rows(cols: list[str], shift: list[float]):
+    """mapInPandas body: per partition, count, sums and cross-products of shifted values."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+
+    def run(batches):
+        n, s1, s2 = 0, np.zeros(k), np.zeros((k, k))
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64")
+            x = x[~np.isnan(x).any(axis=1)] - np.asarray(shift)  # rows with a NULL are skipped
+            n += len(x)
+            s1 += x.sum(axis=0)
+            s2 += x.T @ x
+        idx = np.arange(1 + k + k * k)
+        yield pd.DataFrame({"idx": idx, "v": np.concatenate([[float(n)], s1, s2.ravel()])})
+    return run
+
+
 def corr_matrix(df: DataFrame, cols: list[str], digits: int | None = ROUND) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` as long rows (row, col, r).
 
-    One aggregate pass computes the n(n+1)/2 distinct pairs (a fixed-size state
-    per pair, merged map-side); the result is mirrored to the full n x n matrix.
-    Requested columns that are absent are left out.
+    Two passes, both partitioned and partially aggregated:
+    1. column means (one aggregate row; they only shift the values, so a NULL in
+       another column does not matter here);
+    2. per partition, count, sums and the cross-product matrix of the values minus
+       those means (numpy over Arrow batches), merged with ``groupBy(idx).sum()``.
+    The driver receives k*k + k + 1 numbers, never rows. Shifting by the mean keeps
+    the co-moments exact enough for 6 decimals. Rows with a NULL feature are skipped;
+    a constant column gives NULL correlations.
     """
+    import numpy as np
+
     cols = present_columns(df, cols)
+    k = len(cols)
     num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs, names = [], {}
+    means = num.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = [float(means[c] or 0.0) for c in cols]
+    sums = (num.mapInPandas(_moment_rows(cols, shift), "idx int, v double")
+            .groupBy("idx").agg(F.sum("v").alias("v")).collect())
+    vec = np.zeros(1 + k + k * k)
+    for r in sums:
+        vec[r["idx"]] = r["v"]
+    n, s1, s2 = vec[0], vec[1:1 + k], vec[1 + k:].reshape(k, k)
+    rows = []
+    if n > 1:
+        cov = (s2 - np.outer(s1, s1) / n) / (n - 1)
+        sd = np.sqrt(np.diag(cov))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = cov / np.outer(sd, sd)
+    else:
+        r = np.full((k, k), np.nan)
     for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            alias = f"c{i}_{j}"
-            aggs.append(F.corr(a, b).alias(alias))
-            names[(a, b)] = names[(b, a)] = alias
-    wide = num.agg(*aggs)
-    cells = [F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(names[(a, b)]).alias("r"))
-             for a in cols for b in cols]
-    return (wide.select(F.explode(F.array(*cells)).alias("cell"))
-            .select("cell.row", "cell.col", _r(F.col("cell.r"), digits).alias("r")))
+        for j, b in enumerate(cols):
+            v = float(r[i, j])
+            v = None if not np.isfinite(v) else (round(v, digits) if digits is not None else v)
+            rows.append((a, b, v))
+    return df.sparkSession.createDataFrame(rows, "row string, col string, r double")
 
 
 def group_profile(df: DataFrame, key: str, cols: list[str], digits: int | None = ROUND) -> DataFrame:
