@@ -47,7 +47,8 @@ def _feed(spark, sf, batches: int = 2) -> str:
 
 
 def _stream(spark, path, max_files=None):
-    return SQ.message_file_stream(spark, f"{path}/*", max_files)
+    # the batch=<i> folder names may surface as a column: keep the message only
+    return SQ.message_file_stream(spark, path, max_files).select("value")
 
 
 def _run_append(spark, df, prefix):
@@ -80,7 +81,7 @@ def q_decode_stream(spark, sf):
     "flights_clean"))
 def q_json_fields(spark, sf):
     # the 26 single-path extractions over the published messages (batch read of the feed)
-    msgs = spark.read.text(f"{_feed(spark, sf, 1)}/*")
+    msgs = spark.read.text(_feed(spark, sf, 1)).select("value")
     return decode_paths(msgs)
 
 

@@ -37,8 +37,12 @@ def spread(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     import os
     if os.environ.get("TARMAC_NO_SPREAD"):
         return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a client session without RDD access: leave the plan as it is
+        return df
+    if have >= want:
         return df
     # hash partitioning on a key is repeatable on retry without the local sort
     # that round-robin repartitioning needs
