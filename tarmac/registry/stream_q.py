@@ -144,7 +144,7 @@ def q_prediction_vs_truth(spark, sf):
 
 @register("stream_report")
 def q_stream_report(spark, sf):
-    scored = _scored_stream(spark, sf, max_files=1)
+    scored = _scored_stream(spark, sf, max_files=8)
     out = shared_path(spark, "report")
     q = SQ.start_report(scored, out, shared_path(spark, "report-ckpt"), _name("report"))
     q.awaitTermination()
