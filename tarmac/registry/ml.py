@@ -123,20 +123,30 @@ def _scored(pred, label=J.LABEL):
                        J.positive_score().alias("score"))
 
 
+_CLUSTERS: dict[tuple, J.TrainResult] = {}
+
+
+def _clusters(spark, sf) -> J.TrainResult:
+    """One KMeans fit per session and folder, shared by the three cluster queries."""
+    key = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _CLUSTERS:
+        _CLUSTERS[key] = J.cluster_job(flights_clean(spark, sf))
+    return _CLUSTERS[key]
+
+
 @register("kmeans_clusters")
 def q_kmeans_clusters(spark, sf):
-    res = J.cluster_job(flights_clean(spark, sf))
-    return res.predictions.select("flight_id", "cluster", "DepDelay", "ArrDelay")
+    return _clusters(spark, sf).predictions.select("flight_id", "cluster", "DepDelay", "ArrDelay")
 
 
 @register("cluster_delay_avg")
 def q_cluster_delay_avg(spark, sf):
-    return J.cluster_job(flights_clean(spark, sf)).report
+    return _clusters(spark, sf).report
 
 
 @register("cluster_profile")
 def q_cluster_profile(spark, sf):
-    return J.cluster_job(flights_clean(spark, sf)).extra["profile"]
+    return _clusters(spark, sf).extra["profile"]
 
 
 @register("rf_relevance_dep")
@@ -175,14 +185,25 @@ def q_grid_search(spark, sf):
 RF_REPORT_GRID = {"numTrees": [20], "maxDepth": [10, 15]}
 
 
+_FITTED: dict[tuple, J.TrainResult] = {}
+
+
+def _forest(spark, sf) -> J.TrainResult:
+    """One tuned forest per session and folder, shared by the report and the ranking."""
+    key = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _FITTED:
+        _FITTED[key] = J.train_delay_classifier(flights_clean(spark, sf), kind="rf", grid=RF_REPORT_GRID)
+    return _FITTED[key]
+
+
 @register("train_report")
 def q_train_report(spark, sf):
-    return J.train_delay_classifier(flights_clean(spark, sf), kind="rf", grid=RF_REPORT_GRID).report
+    return _forest(spark, sf).report
 
 
 @register("importance_ranking")
 def q_importance_ranking(spark, sf):
-    return J.train_delay_classifier(flights_clean(spark, sf), kind="rf", grid=RF_REPORT_GRID).importances
+    return _forest(spark, sf).importances
 
 
 def _svm_input(spark, sf):
