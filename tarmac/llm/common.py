@@ -31,8 +31,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ascii_lower(col):
-    """Lower-case A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only; on pure ASCII, which is told by its length in bytes, ``lower`` does that."""
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(
+        F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _marks(edges: DataFrame) -> tuple:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+BARE = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: the CTEs behind op3 over a relation ``docs`` (doc_id, text, source); the last is ``verdict``
@@ -32,6 +33,20 @@ verdict AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bas
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op1_ngram_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format('text'))} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+        SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+        UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (shingle)
+          WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+          WHERE 100 * o >= 75 * (p.n + q.n - o)),
+reach(node, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, root FROM reach JOIN links ON a = node)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON node = w.doc_id GROUP BY w.doc_id"""
+
 ORACLE["op3_quality_rules"] = f"""
 WITH docs AS (SELECT doc_id, text, source FROM documents), {QUALITY}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words FROM verdict"""
@@ -61,3 +76,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
                                        'tool>assistant', 'tool>tool')
            AND (after IS NOT NULL OR role = 'assistant')) AS valid
 FROM steps GROUP BY conv_id"""
+
+#: the CTEs behind op9 over a relation ``docs`` (doc_id, text); the last is ``hit``
+CONTAMINATION = rf"""
+dw AS (SELECT doc_id, {BARE.format('text')} AS words FROM docs),
+iw AS (SELECT item_id, {BARE.format('text')} AS words FROM benchmark),
+wins AS (SELECT DISTINCT item_id, array_to_string(words[i:i + 12], ' ') AS win, least(13, len(words)) AS n FROM (
+           SELECT item_id, words, unnest(range(1, greatest(len(words) - 11, 2))) AS i FROM iw WHERE len(words) > 0)),
+spots AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM (
+            SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM wins) k)),
+found AS (SELECT doc_id, i, s.n, item_id FROM spots s JOIN wins USING (win) WHERE s.n = wins.n),
+marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id),
+hit AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+        FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id))"""
+
+ORACLE["op9_decontaminate"] = f"""
+WITH docs AS (SELECT doc_id, text FROM documents), {CONTAMINATION}
+SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM hit"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import chat_format, quality_rules, url_filter
+from tarmac.llm import chat_format, decontaminate, line_dedup, ngram_join, quality_rules, url_filter
 from tarmac.llm.common import read
 from tarmac.llm.oracle import ORACLE  # noqa: F401  (the driver's statements, by query name)
 
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
@@ -43,3 +48,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(tricky).alias("text"))
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(extra)))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "items")
