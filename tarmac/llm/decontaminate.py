@@ -54,10 +54,11 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _positions(documents: DataFrame, size: int) -> DataFrame:
-    """``doc_id, text_hash, words, pos, shingle`` of every shingle of the corpus."""
+    """``doc_id, text_hash, words, pos, shingle`` of every shingle of the corpus. The outer form keeps
+    the planner from filtering on the arrays' sizes first, which would compute them twice."""
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "text_hash", "words", shingles("words", size).alias("grams"))
-    return rows.select("doc_id", "text_hash", "words", F.posexplode("grams").alias("pos", "shingle"))
+    return rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("pos", "shingle"))
 
 
 def necessary_prefix(documents: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
