@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import chat_format, decontaminate, line_dedup, ngram_join, quality_rules, url_filter
+from tarmac.llm import (chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_scan,
+                        token_counts, url_filter)
 from tarmac.llm.common import read
 from tarmac.llm.oracle import ORACLE  # noqa: F401  (the driver's statements, by query name)
 
@@ -50,6 +51,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(extra)))
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
@@ -59,3 +65,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("text_hash", "items")
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read(spark, sf_dir, "documents"))
