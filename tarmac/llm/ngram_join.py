@@ -161,7 +161,7 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
         b.grow()
     i = j = np.zeros(1, np.int64)
     for level in reversed(range(len(a.levels))):
-        keep_i, keep_j = [], []
+        keep_i, keep_j = [i[:0]], [j[:0]]
         la, lb = a.levels[level], b.levels[level]
         step = max(1, (1 << 22) // la[0].shape[1])
         for k in range(0, len(i), step):
