@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import (chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_scan,
-                        token_counts, url_filter)
+                        token_counts, toxicity, url_filter)
 from tarmac.llm.common import read
 from tarmac.llm.oracle import ORACLE  # noqa: F401  (the driver's statements, by query name)
 
@@ -25,6 +25,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
