@@ -304,3 +304,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return named.join(groups, named["rep"] == groups["node"], "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that stay: of each group those with the smallest doc_id; all columns.
+    Rows with a null doc_id or without words stay."""
+    groups = near_duplicates(documents.select("doc_id", "text"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
+    return documents.join(gone, documents["doc_id"] == gone["_d"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_scan,
+from tarmac.llm import (chat_format, decontaminate, language_id, line_dedup, ngram_join, quality_rules, sentencepiece_scan,
                         token_counts, toxicity, url_filter)
 from tarmac.llm.common import read
 from tarmac.llm.oracle import ORACLE  # noqa: F401  (the driver's statements, by query name)
@@ -46,6 +46,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
