@@ -11,6 +11,8 @@ from tarmac.session import shared_path
 
 #: rows up to which a (key, value) side of two longs may be broadcast: about 64 MB once hashed
 BROADCAST_ROWS = 1_000_000
+#: edges of a graph that one file, and so one task of a round, holds
+EDGES_A_FILE = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,12 @@ def ascii_lower(col):
         F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def _marks(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return r[0], r[1]
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node is either one edge's larger end or only a smaller end."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where("up > 1 OR up > 0 AND down > 0").isEmpty())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,30 +51,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest reachable node.
 
     Alternating large-star and small-star rounds: a node links its larger neighbours to its
-    smallest one, then its smaller neighbours to the smallest of these. Each round is two
-    grouped minima (combined before the shuffle) joined back to the edges; a hub with many
-    edges is a skewed join that the adaptive planner splits. The edge set after a round is
-    written to the shared folder; the loop ends when a round changes nothing.
+    smallest one, then its smaller neighbours to the smallest of these. Each half is a grouped
+    minimum (combined before the shuffle) joined back to the edges; a hub with many edges is a
+    skewed join that the adaptive planner splits. Both halves are written to the shared folder;
+    the loop ends when only stars are left.
     """
-    e = stored(edges.where(F.col(a) != F.col(b))
-               .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = _marks(e)
-    while seen[0]:
+    def kept(df: DataFrame, rows: int) -> DataFrame:
+        return stored(df.coalesce(max(8, rows // EDGES_A_FILE)), "edges")
+
+    first = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e = stored(first.distinct(), "edges")
+    while not _is_forest_of_stars(e):
+        rows = e.count()
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = kept(both.join(low, "u").where(F.col("v") > F.col("u"))
+                     .select(F.col("v").alias("u"), F.col("m").alias("v")), rows)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = stored(small, "edges")
-        now = _marks(e)
-        if now == seen:
-            break
-        seen = now
+        e = kept(small, rows)
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+            .unionByName(e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))))
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -25,7 +25,7 @@ Band keys: 28 keys of 3 min-hashes. A link at exactly 3/4 shares no key with pro
 are compared as said, whatever their number.
 
 Null or empty text, or text without words: empty set, linked with nothing, component_id is the
-row's own doc_id. Null doc_id: takes the component of its text's class. Repeated rows get equal
+row's own doc_id. Null doc_id: the component of the rows that have the same set, null without any. Repeated rows get equal
 results; rows of one doc_id with different texts count as one document that has both sets.
 Extra columns are ignored; an empty table gives an empty result.
 """

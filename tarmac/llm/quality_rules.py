@@ -144,21 +144,21 @@ def clean_documents(documents: DataFrame, **limits) -> DataFrame:
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("host").alias("_h"),
         F.col("removed").alias("_removed")).dropDuplicates(["_d", "_t", "_h"])
     host = limits.get("host_col", "source")
-    both = documents.join(verdict, documents["doc_id"].eqNullSafe(F.col("_d"))
-                          & (F.xxhash64(documents["text"]) == F.col("_t"))
-                          & documents[host].eqNullSafe(F.col("_h")))
+    both = documents.join(verdict, documents["doc_id"].eqNullSafe(verdict["_d"])
+                          & (F.xxhash64(documents["text"]) == verdict["_t"])
+                          & documents[host].eqNullSafe(verdict["_h"]))
     schema = documents.schema
     text_at = documents.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x if x is None or not gone else _without_lines(x, set(gone))
-                     for x, gone in zip(batch.column(text_at).to_pylist(), batch.column("_removed").to_pylist())]
+                     for x, gone in zip(batch.column(text_at).to_pylist(), batch.column(len(schema)).to_pylist())]
             columns = batch.columns[:len(schema)]
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=schema.names)
 
-    return both.select(*[documents[c] for c in documents.columns], "_removed").mapInArrow(cut, schema)
+    return both.select(*[documents[c] for c in documents.columns], verdict["_removed"]).mapInArrow(cut, schema)
 
 
 def _without_lines(text: str, gone: set[int]) -> str:
