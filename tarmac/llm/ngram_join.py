@@ -3,20 +3,23 @@
 A document's set is its distinct 5-word shingles; two documents link when their sets' Jaccard
 similarity is at least 3/4, and a group is a connected component of links.
 
-1. *Signatures* (one pass over the texts): the set's size and 128-bit hash, a bitmap of its
-   shingles (four to eight bits a shingle), and band keys, which say in which trees the
-   document is a leaf. Equal sets collapse to one class (grouped, combined before the shuffle).
-2. *Trees.* Each band key that several classes share is one tree. Its leaves are the classes'
-   bitmaps; an inner node holds the OR of its children's bitmaps, the range of their sizes and
-   the largest number of shingles that fell on an already set bit. For two nodes,
-   ``popcount(or1 & or2) + min(excess1, excess2)`` bounds the overlap of any two documents
-   below them; a pair of nodes goes on only if that could reach 3/7 of their smallest sizes.
+1. *Signatures* (one pass over the texts): the set's size and 128-bit hash, and band keys, which
+   say in which trees the document is a leaf. Equal sets collapse to one class (grouped,
+   combined before the shuffle); texts of classes that share a key are set apart once.
+2. *Trees.* Each band key that several classes share is one tree. A leaf holds a class's shingle
+   hashes and their bitmap (four to eight bits a shingle); an inner node the OR of its
+   children's bitmaps, the range of their sizes and the largest number of shingles that fell on
+   an already set bit. For two nodes, ``popcount(or1 & or2) + min(excess1, excess2)`` bounds the
+   overlap of any two documents below them; a pair of nodes goes on only if that could reach 3/7
+   of their smallest sizes.
 3. *First traversal: the root leaf.* Every leaf is compared with its tree's smallest class, so
    a group of near copies, however large, costs one comparison for each leaf.
 4. *Dual traversal.* In trees whose leaves still lie in different components, node pairs are
    traversed from the roots; pairs wholly inside one component and pairs under the bound are
-   pruned, and what is left at the leaves is a candidate. Large trees are cut into blocks of
-   ``BLOCK`` leaves; only the leaves outside the tree's largest component probe the others.
+   pruned, and leaves that are left are compared by their 32-bit shingle hashes. One pair for
+   each leaf and other component is a candidate: more would say nothing new. Large trees are
+   cut into blocks of ``BLOCK`` leaves; only the leaves outside the tree's largest component
+   probe the others.
 5. Candidates are verified exactly on the whole texts' shingle sets; components are found by
    distributed union-find.
 
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import components, stored
+from tarmac.llm.common import broadcast_if_small, components, stored
 
 SHINGLE = 5
 BANDS, ROWS = 28, 3
@@ -53,7 +56,7 @@ _rng = np.random.default_rng(20240501)
 _ODD = _rng.integers(1 << 62, size=max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _rng.integers(1 << 62, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNATURES = "doc_id bigint, n int, s1 bigint, s2 bigint, bands array<bigint>, sig binary"
+SIGNATURES = "doc_id bigint, n int, s1 bigint, s2 bigint, bands array<bigint>"
 
 
 class WordHash(dict):
@@ -94,18 +97,22 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length()))
+def bitmap_bits(n: int) -> int:
+    return min(MAX_BITS, max(64, 1 << (4 * max(n, 1) - 1).bit_length()))
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of 32-bit shingle hashes, as 64-bit words."""
     on = np.zeros(bits, bool)
-    on[shingles & np.uint64(bits - 1)] = True
-    return np.packbits(on, bitorder="little").tobytes()
+    on[tokens & np.uint32(bits - 1)] = True
+    return np.packbits(on, bitorder="little").view(np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word_hash = WordHash()
     band_no = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
-        n, s1, s2, bands, sigs = [], [], [], [], []
+        n, s1, s2, bands = [], [], [], []
         for text in batch.column("text").to_pylist():
             u = shingle_set(text, word_hash)
             n.append(len(u))
@@ -114,15 +121,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(u):
                 rows = (min_hashes(u).reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(axis=1) + band_no
                 bands.append(mix(rows).view(np.int64))
-                sigs.append(bitmap(u))
             else:
                 bands.append(np.empty(0, np.int64))
-                sigs.append(b"")
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()),
-                               pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, flat),
-                               pa.array(sigs, pa.binary())], names=["doc_id", "n", "s1", "s2", "bands", "sig"])
+                               pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                              names=["doc_id", "n", "s1", "s2", "bands"])
+
+
+def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of the shingle hashes, sorted, as bytes."""
+    word_hash = WordHash()
+    for batch in batches:
+        sets = [(shingle_set(t, word_hash) >> np.uint64(32)).astype(np.uint32) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "tokens"])
 
 
 def enough(overlap, sizes):
@@ -135,13 +148,14 @@ def enough(overlap, sizes):
 class Tree:
     """Levels of a signature tree over leaves sorted by component and size; level 0 is the leaves."""
 
-    def __init__(self, ids, sizes, comps, sigs, width: int):
+    def __init__(self, ids: np.ndarray, comps: np.ndarray, tokens: list[np.ndarray], bits: int):
+        sizes = np.array([len(t) for t in tokens], np.int64)
         order = np.lexsort((sizes, comps))
-        self.ids = ids[order]
-        sig = np.stack([np.frombuffer(sigs[i] * (width // len(sigs[i])), np.uint64) for i in order])
-        excess = sizes[order] - [int(np.bitwise_count(np.frombuffer(sigs[i], np.uint64)).sum()) for i in order]
-        n, c = sizes[order], comps[order]
-        self.levels = [(sig, n, n, excess, c, c)]
+        self.ids, self.comps, self.tokens = ids[order], comps[order], [tokens[k] for k in order]
+        sig = np.stack([bitmap(t, bits) for t in self.tokens])
+        n = sizes[order]
+        excess = n - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
+        self.levels = [(sig, n, n, excess, self.comps, self.comps)]
         while len(self.levels[-1][0]) > 1:
             self.grow()
 
@@ -185,45 +199,60 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted token sets are similar enough."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return enough(int((b[at] == a).sum()), len(a) + len(b))
+
+
+def links_across(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """A pair of linked leaves for each leaf of ``b`` and component of ``a``'s leaves, if there is one."""
+    found, known = [], set()
+    for i, j in zip(*(x.tolist() for x in dual_traversal(a, b))):
+        key = (int(b.ids[j]), int(a.comps[i]))
+        if key not in known and a.comps[i] != b.comps[j] and linked(a.tokens[i], b.tokens[j]):
+            known.add(key)
+            x, y = int(a.ids[i]), key[0]
+            found.append((max(x, y), min(x, y)))
+    return found
+
+
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, tb, pb): builds the block's two trees and traverses them together."""
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         sides = [[r for r in rows if r[3] == probe] for probe in (False, True)]
         if not all(sides):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        width = max(len(r[7]) for r in rows)
-        trees = [Tree(np.array([r[4] for r in s]), np.array([r[5] for r in s], np.int64), np.array([r[6] for r in s]),
-                      [r[7] for r in s], width) for s in sides]
-        i, j = dual_traversal(*trees)
-        x, y = trees[0].ids[i], trees[1].ids[j]
-        return np.maximum(x, y), np.minimum(x, y)
-
-    def batch_of(found):
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    rows, names = [], ("key", "tb", "pb", "probe", "id", "n", "comp", "sig")
+            return []
+        tokens = [[np.frombuffer(r[6], np.uint32) for r in s] for s in sides]
+        bits = bitmap_bits(max(len(t) for side in tokens for t in side))
+        return links_across(*(Tree(np.array([r[4] for r in s]), np.array([r[5] for r in s]), t, bits)
+                              for s, t in zip(sides, tokens)))
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows, names = [], ("key", "tb", "pb", "probe", "id", "comp", "tokens")
     for batch in batches:
         found = []
         for row in zip(*(batch.column(c).to_pylist() for c in names)):
             if rows and row[:3] != rows[0][:3]:
-                found.append(pairs(rows))
+                found += pairs(rows)
                 rows = []
             rows.append(row)
         yield batch_of(found)
     if rows:
-        yield batch_of([pairs(rows)])
+        yield batch_of(pairs(rows))
 
 
 def _blocks(count: str):
     return F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
 
 
-def tree_candidates(leaves: DataFrame, signatures: DataFrame) -> DataFrame:
-    """``a, b``: leaves of one tree, in different components, that no node's bound ruled out.
+def tree_candidates(leaves: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``a, b``: leaves of one tree, in different components, that link by their token sets.
 
-    ``leaves``: key, id, comp (stored). A tree's largest component only waits to be probed, so a
+    ``leaves``: key, id, comp (stored); ``tokens``: id, tokens. A tree's largest component only waits to be probed, so a
     tree with one large group and a few others costs the few times the whole, in blocks.
     """
     parts = leaves.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -231,14 +260,14 @@ def tree_candidates(leaves: DataFrame, signatures: DataFrame) -> DataFrame:
                                       F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
              .where(F.col("comps") > 1))
     trees = stored(trees.select("key", "total", "major", (F.col("total") - F.col("most")).alias("minor")), "trees")
-    mixed = leaves.join(trees, "key").join(signatures, "id")
+    mixed = leaves.join(trees, "key").join(tokens, "id")
     tbs, pbs, hashed = _blocks("total"), _blocks("minor"), F.xxhash64("id")
     target = mixed.select("key", F.pmod(hashed, tbs).cast("int").alias("tb"),
                           F.explode(F.sequence(F.lit(0), pbs - 1)).alias("pb"), F.lit(False).alias("probe"),
-                          "id", "n", "comp", "sig")
+                          "id", "comp", "tokens")
     probe = mixed.where(F.col("comp") != F.col("major")).select(
         "key", F.explode(F.sequence(F.lit(0), tbs - 1)).alias("tb"), F.pmod(hashed, pbs).cast("int").alias("pb"),
-        F.lit(True).alias("probe"), "id", "n", "comp", "sig")
+        F.lit(True).alias("probe"), "id", "comp", "tokens")
     return (target.unionByName(probe).repartition("key", "tb", "pb").sortWithinPartitions("key", "tb", "pb")
             .mapInArrow(_traverse, "a bigint, b bigint").where("a <> b").distinct())
 
@@ -267,15 +296,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b), stored, whose texts link. An anchor ``b`` with many members is dealt to
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b), stored, whose texts (id, text) link. An anchor ``b`` with many members is dealt to
     several tasks, each with the anchor's text once."""
     sizes = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("parts")), "anchors")
     members = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"),
                                             F.lit(True).alias("member"), F.col("a").alias("id"))
     anchors = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                            F.lit(False).alias("member"), F.col("b").alias("id"))
-    texts = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     return (members.unionByName(anchors).join(texts, "id").repartition("b", "part")
             .sortWithinPartitions("b", "part", "member").mapInArrow(_verify, "a bigint, b bigint"))
 
@@ -291,14 +319,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     roots = stored(postings.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("last"))
                    .where("root < last").select("key", "root"), "roots")
     leaves = stored(postings.join(roots, "key"), "leaves")
+    wanted = stored(leaves.select("id").distinct(), "wanted")
+    texts = stored(documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+                   .join(broadcast_if_small(wanted), "id", "left_semi"), "texts")
     first = stored(leaves.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), "pairs")
-    links = stored(verified(first, documents), "links")
+    links = stored(verified(first, texts), "links")
     groups = components(links)
     placed = stored(leaves.join(groups, leaves["id"] == groups["node"], "left")
                     .select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
-    signatures = reps.select(F.col("doc_id").alias("id"), "n", "sig")
-    second = stored(tree_candidates(placed, signatures), "pairs")
-    more = stored(verified(second, documents), "links")
+    tokens = texts.mapInArrow(_token_sets, "id bigint, tokens binary")
+    second = stored(tree_candidates(placed, tokens), "pairs")
+    more = stored(verified(second, texts), "links")
     groups = stored(components(links.unionByName(more)), "components")
     named = sig.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     return named.join(groups, named["rep"] == groups["node"], "left").select(

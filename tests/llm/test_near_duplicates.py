@@ -91,30 +91,31 @@ def test_trees_prune_nothing_that_links():
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(60):
-        base = rng.integers(1 << 63, size=rng.integers(5, 300), dtype=np.uint64)
+        base = rng.integers(1 << 32, size=rng.integers(5, 300), dtype=np.uint32)
         for _ in range(4):
-            sets.append(np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(1 << 63, size=len(base), dtype=np.uint64), base)))
-    sigs = [ngram_join.bitmap(s) for s in sets]
-    tree = lambda: ngram_join.Tree(np.arange(len(sets)), np.array([len(s) for s in sets]), np.arange(len(sets)), sigs,
-                                   max(map(len, sigs)))
+            sets.append(np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(1 << 32, size=len(base), dtype=np.uint32), base)))
+    bits = ngram_join.bitmap_bits(max(map(len, sets)))
+    tree = lambda: ngram_join.Tree(np.arange(len(sets)), np.arange(len(sets)), sets, bits)
     a, b = tree(), tree()
     i, j = ngram_join.dual_traversal(a, b)
     found = set(zip(a.ids[i].tolist(), b.ids[j].tolist()))
     links = {(x, y) for x in range(len(sets)) for y in range(len(sets)) if x != y and ngram_join.enough(
         len(np.intersect1d(sets[x], sets[y])), len(sets[x]) + len(sets[y]))}
     assert links <= found and len(found) < len(sets) ** 2 / 4
+    assert set(ngram_join.links_across(tree(), tree())) == {(x, y) for x, y in links if x > y}
 
 
-def test_tree_candidates_cross_components(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
-    sets = {i: np.unique(ngram_join.mix(np.arange(100, dtype=np.uint64) + np.uint64(4 * (i // 4)))) for i in range(20)}
-    sig = spark.createDataFrame([(i, len(s), bytearray(ngram_join.bitmap(s))) for i, s in sets.items()], "id bigint, n int, sig binary")
-    leaves = spark.createDataFrame([(7, i, 0 if i < 12 else i) for i in sets], "key bigint, id bigint, comp bigint")
-    got = {(r.a, r.b) for r in ngram_join.tree_candidates(leaves, sig).collect()}
+@pytest.mark.parametrize("block", [3, 512])
+def test_tree_candidates_cross_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    sets = {i: np.sort(np.unique(ngram_join.mix(np.arange(100, dtype=np.uint64) + np.uint64(4 * (i // 4))) >> np.uint64(32)).astype(np.uint32))
+            for i in range(20)}
+    tokens = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id bigint, tokens binary")
     comp = {i: 0 if i < 12 else i for i in sets}
-    want = {(a, b) for a in sets for b in sets if a > b and comp[a] != comp[b]
-            and ngram_join.enough(len(np.intersect1d(sets[a], sets[b])), 200)}
-    assert want <= got and all(comp[a] != comp[b] for a, b in got)
+    leaves = spark.createDataFrame([(7, i, comp[i]) for i in sets], "key bigint, id bigint, comp bigint")
+    got = {(r.a, r.b) for r in ngram_join.tree_candidates(leaves, tokens).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b and comp[a] != comp[b] and ngram_join.linked(sets[a], sets[b])}
+    assert got <= want and {(a, comp[b]) for a, b in got} >= {(a, comp[b]) for a, b in want}
 
 
 def test_one_of_each_and_empty_table(spark):
