@@ -31,9 +31,11 @@ def json_unescape(c: Column | str) -> Column:
     """Undo one level of JSON encoding.
 
     A JSON string literal yields its content; any other JSON value (e.g. an object
-    that was encoded only once) yields its own text; text that is not JSON yields NULL.
+    that was encoded only once) yields its own text; text that is not exactly one JSON
+    value yields NULL.
     """
-    return F.get_json_object(F.concat(F.lit("["), _c(c), F.lit("]")), "$[0]")
+    wrapped = F.concat(F.lit("["), _c(c), F.lit("]"))
+    return F.when(F.json_array_length(wrapped) == 1, F.get_json_object(wrapped, "$[0]"))
 
 
 def string_fields_schema(names: list[str]) -> T.StructType:
@@ -41,9 +43,9 @@ def string_fields_schema(names: list[str]) -> T.StructType:
 
 
 def typed_from_string(c: Column, dtype: T.DataType) -> Column:
-    """Lenient cast of payload text: integers accept '905.0'; bad text gives NULL."""
+    """Lenient cast of payload text: integers accept '905.0', whole ones keep every digit; bad text gives NULL."""
     if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return c.try_cast("double").try_cast(dtype)
+        return F.coalesce(c.try_cast(dtype), c.try_cast("double").try_cast(dtype))
     if isinstance(dtype, T.StringType):
         return c
     return c.try_cast(dtype)

@@ -62,9 +62,14 @@ def null_rows(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
 
 
-def dropna_any(df: DataFrame) -> DataFrame:
-    """Rows without any NULL (all columns)."""
-    return df.dropna(how="any")
+def dropna_any(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without any NULL in ``columns`` (default: all).
+
+    One ``IsNotNull`` condition for each column: unlike ``dropna``, these reach the parquet scan.
+    """
+    for c in df.columns if columns is None else columns:
+        df = df.filter(F.col(f"`{c}`").isNotNull())
+    return df
 
 
 def clean_flights(raw: DataFrame, dismissed: list[str] | None = None) -> DataFrame:
@@ -74,15 +79,17 @@ def clean_flights(raw: DataFrame, dismissed: list[str] | None = None) -> DataFra
     recompute both delays, merge city and state, trim header blanks, and remove
     every row holding a NULL. Duplicates are counted elsewhere, never removed here.
 
-    The NULL test runs on the raw columns, before the derivations: each derived
-    column is NULL exactly when one of its inputs is (``concat_ws`` never is), so
-    the rows are the same as testing afterwards -- but on a real table these
-    ``IsNotNull`` predicates reach the parquet scan, and the derivations are
-    computed once, for kept rows only.
+    The NULL test runs on the raw columns, before the derivations, and leaves out
+    those that are overwritten (recorded delays, which may be NULL) or merged (city
+    and state; ``concat_ws`` is never NULL). Each derived column is NULL exactly when
+    one of its inputs is, so the rows are the same as testing afterwards -- but these
+    ``IsNotNull`` predicates reach the parquet scan, and the derivations are computed
+    for kept rows only.
     """
     df = trim_headers(drop_columns(raw, dismissed))
-    parts = {p for pair in CITY_STATE_PARTS.values() for p in pair}
-    df = df.dropna(how="any", subset=[c for c in df.columns if c not in parts])
+    replaced = {p for pair in CITY_STATE_PARTS.values() for p in pair}
+    replaced |= {d for d, clocks in DELAY_COLUMNS.items() if set(clocks) <= set(df.columns)}
+    df = dropna_any(df, [c for c in df.columns if c not in replaced])
     df = merge_city_state(derive_times(df))
     # canonical layout: carried columns (e.g. a row id) first, then the clean record
     from tarmac.schema import CLEAN_COLUMNS

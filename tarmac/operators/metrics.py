@@ -8,7 +8,7 @@ prediction ever reaches the driver (no ``collect`` + ``zip``, no RDD).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.profile import ROUND
@@ -32,26 +32,34 @@ def prediction_counts(pred: DataFrame, label: str = "label", prediction: str = "
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes: list[float] = (0.0, 1.0)) -> DataFrame:
-    """Rows = true label, columns ``pred_<c>`` = predicted class, missing cells 0."""
+    """A row for each class, and for each other true label that occurs; columns ``pred_<c>`` and
+    ``pred_other`` (another class, or NULL). Missing cells are 0."""
     p = F.col(prediction).cast("double")
-    return (pred.groupBy(F.col(label).cast("double").alias("label"))
-            .agg(*[F.count(F.when(p == float(c), 1)).alias(f"pred_{int(c)}") for c in classes])
-            .orderBy("label"))
+    known = p.isin(*[float(c) for c in classes])
+    found = pred.groupBy(F.col(label).cast("double").alias("label")).agg(
+        *[F.count(F.when(p == float(c), 1)).alias(f"pred_{int(c)}") for c in classes],
+        F.count(F.when(known, None).otherwise(1)).alias("pred_other"))
+    names = found.columns[1:]
+    every = pred.sparkSession.createDataFrame([(float(c), *([0] * len(names))) for c in classes],
+                                              "label double, " + ", ".join(f"{n} bigint" for n in names))
+    return (found.unionByName(every).groupBy("label").agg(*[F.sum(n).alias(n) for n in names]).orderBy("label"))
 
 
 def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                    positive: float = 1.0, digits: int | None = ROUND) -> DataFrame:
-    """TP/TN/FP/FN and accuracy, precision, recall, specificity, F1 (NULL where a ratio is 0/0)."""
+    """TP/TN/FP/FN and accuracy, precision, recall, specificity, F1 (NULL where a ratio is 0/0).
+    ``unjudged`` counts the rows whose label or prediction is NULL, which are in no cell."""
     y = F.col(label).cast("double") == positive
     p = F.col(prediction).cast("double") == positive
     cells = pred.agg(
         F.count(F.when(y & p, 1)).alias("tp"), F.count(F.when(~y & ~p, 1)).alias("tn"),
-        F.count(F.when(~y & p, 1)).alias("fp"), F.count(F.when(y & ~p, 1)).alias("fn"))
+        F.count(F.when(~y & p, 1)).alias("fp"), F.count(F.when(y & ~p, 1)).alias("fn"),
+        F.count(F.when(y.isNull() | p.isNull(), 1)).alias("unjudged"))
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     precision = F.try_divide(tp, tp + fp)
     recall = F.try_divide(tp, tp + fn)
     return cells.select(
-        "tp", "tn", "fp", "fn",
+        "tp", "tn", "fp", "fn", "unjudged",
         _r(F.try_divide(tp + tn, tp + tn + fp + fn), digits).alias("accuracy"),
         _r(precision, digits).alias("precision"),
         _r(recall, digits).alias("recall"),
@@ -99,14 +107,20 @@ def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "p
 def evaluator_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                       names: tuple[str, ...] = ("accuracy", "f1", "weightedPrecision", "weightedRecall"),
                       digits: int | None = ROUND) -> DataFrame:
-    """The same numbers from Spark ML's ``MulticlassClassificationEvaluator`` as (metric, value)."""
+    """The same numbers from Spark ML's ``MulticlassClassificationEvaluator`` as (metric, value).
+
+    The rows are read once, for the confusion cells; the evaluator gets these (at most
+    classes^2 rows) weighted by their counts."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    data = pred.select(F.col(label).cast("double").alias("label"),
-                       F.col(prediction).cast("double").alias("prediction"))
+    spark = pred.sparkSession
+    cells = confusion_cells(pred, label, prediction).dropna().select(
+        "label", "prediction", F.col("count").cast("double").alias("weight")).collect()
+    data = spark.createDataFrame(cells, "label double, prediction double, weight double").coalesce(1)
     rows = []
     for name in names:
-        ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=name)
+        ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=name,
+                                               weightCol="weight")
         v = float(ev.evaluate(data))
         rows.append((name, round(v, digits) if digits is not None else v))
     return pred.sparkSession.createDataFrame(rows, "metric string, value double")
@@ -133,43 +147,31 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score", num_bins: i
 
 
 def auc_rank(pred: DataFrame, label: str = "label", score: str = "score",
-             rows_per_range: int = 1_000_000, digits: int | None = ROUND) -> DataFrame:
+             digits: int | None = ROUND) -> DataFrame:
     """Exact area under the ROC curve as a DataFrame job: the rank statistic with ties 1/2.
 
-    1. Histogram ``score -> (pos, neg)`` (partial aggregation: a score shared by a
-       third of all rows is one row per map task before the shuffle).
-    2. The distinct scores are cut into ranges of about ``rows_per_range`` scores at
-       approximate quantiles (the cut points only steer the partitioning; the result
-       stays exact).
-    3. Negatives below each score = negatives in earlier ranges (a prefix sum over
-       one row per range, broadcast -- its size is the number of ranges) + negatives
-       earlier in the same range (a window per range).
+    1. Histogram ``score -> (pos, neg)`` (partial aggregation: a score shared by a third of all
+       rows is one row per map task before the shuffle), dealt out by ranges of the score to the
+       session's shuffle partitions and written once with its range's number.
+    2. Negatives below each score = negatives in earlier ranges (a prefix sum over one row per
+       range, at most as many as partitions) + negatives earlier in its range (a window per range).
+
+    NULL on one-class or empty data; rows with a NULL label or score are left out.
     """
-    from pyspark.ml.feature import Bucketizer
-    from pyspark.sql import Window
+    from tarmac.session import stored
 
+    spark = pred.sparkSession
     y = F.col(label).cast("double") == 1.0
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hist = pred.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
-    n_scores = hist.count()
-    ranges = max(1, -(-n_scores // rows_per_range))
-    cuts = []
-    if ranges > 1:
-        probs = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(float(c) for c in
-                          hist.agg(F.percentile_approx("s", probs, 10 * ranges).alias("q")).first()["q"]))
-    if cuts:
-        splits = [float("-inf")] + cuts + [float("inf")]
-        binned = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(hist)
-    else:
-        binned = hist.withColumn("b", F.lit(0.0))
-    per_range = binned.groupBy("b").agg(F.sum("neg").alias("range_neg"))
-    offsets = per_range.select(
-        "b", F.coalesce(F.sum("range_neg").over(
-            Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("neg_before"))
+        F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg")).where("s IS NOT NULL")
+    binned = stored(hist.repartitionByRange(ranges, "s").withColumn("b", F.spark_partition_id()), "auc-histogram")
+    before = F.sum("range_neg").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = binned.groupBy("b").agg(F.sum("neg").alias("range_neg")).select(
+        "b", F.coalesce(before, F.lit(0)).alias("neg_before"))
     within = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     cum = (binned.join(F.broadcast(offsets), "b")
            .withColumn("neg_below", F.col("neg_before") + F.coalesce(F.sum("neg").over(within), F.lit(0))))
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     area = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-    return cum.agg(_r(area / (pos * neg), digits).alias("auc"))
+    return cum.agg(_r(F.try_divide(area, pos * neg), digits).alias("auc"))

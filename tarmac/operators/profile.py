@@ -71,7 +71,8 @@ def box_summary(df: DataFrame, key: str, value: str, whis: float = 1.5,
     """Box-plot numbers per group: exact linear quartiles, fences, whiskers, outliers.
 
     First a histogram ``(key, value) -> n`` (partial aggregation; the number of
-    distinct values bounds its size, not the number of rows), then exact
+    distinct values bounds its size, not the number of rows; meant for values such as
+    whole minutes, as one task holds a group's distinct values), then exact
     percentiles weighted by ``n`` and one join of the histogram with the per-group
     quartiles for the whiskers.
     """
@@ -112,36 +113,33 @@ def present_columns(df: DataFrame, names: list[str]) -> list[str]:
 
 
 def _moment_rows(cols: list[str], shift: list[float]):
-    """mapInPandas body: per partition, count, sums and cross-products of shifted values."""
+    """mapInPandas body: per partition and pair of columns, over rows where both are there, the count,
+    the sums, the sums of squares and the cross-products of shifted values."""
     import numpy as np
     import pandas as pd
 
     k = len(cols)
 
     def run(batches):
-        n, s1, s2 = 0, np.zeros(k), np.zeros((k, k))
+        sums = np.zeros((4, k, k))
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype="float64")
-            x = x[~np.isnan(x).any(axis=1)] - np.asarray(shift)  # rows with a NULL are skipped
-            n += len(x)
-            s1 += x.sum(axis=0)
-            s2 += x.T @ x
-        idx = np.arange(1 + k + k * k)
-        yield pd.DataFrame({"idx": idx, "v": np.concatenate([[float(n)], s1, s2.ravel()])})
+            there = ~np.isnan(x)
+            x, there = np.where(there, x - np.asarray(shift), 0.0), there.astype("float64")
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pd.DataFrame({"idx": np.arange(sums.size), "v": sums.ravel()})
     return run
 
 
 def corr_matrix(df: DataFrame, cols: list[str], digits: int | None = ROUND) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` as long rows (row, col, r).
 
-    Two passes, both partitioned and partially aggregated:
-    1. column means (one aggregate row; they only shift the values, so a NULL in
-       another column does not matter here);
-    2. per partition, count, sums and the cross-product matrix of the values minus
-       those means (numpy over Arrow batches), merged with ``groupBy(idx).sum()``.
-    The driver receives k*k + k + 1 numbers, never rows. Shifting by the mean keeps
-    the co-moments exact enough for 6 decimals. Rows with a NULL feature are skipped;
-    a constant column gives NULL correlations.
+    Two passes, both partitioned and partially aggregated: column means (they only shift the
+    values), then for each pair the moments of the rows where both columns are there (numpy over
+    Arrow batches), merged with ``groupBy(idx).sum()``. The driver receives 4 k^2 + k numbers,
+    never rows. Shifting by the mean keeps the co-moments exact enough for 6 decimals. A NULL
+    takes its row out of its own column's pairs only, as ``corr(a, b)`` does; a constant column
+    or a pair with fewer than two rows gives NULL.
     """
     import numpy as np
 
@@ -152,18 +150,15 @@ def corr_matrix(df: DataFrame, cols: list[str], digits: int | None = ROUND) -> D
     shift = [float(means[c] or 0.0) for c in cols]
     sums = (num.mapInPandas(_moment_rows(cols, shift), "idx int, v double")
             .groupBy("idx").agg(F.sum("v").alias("v")).collect())
-    vec = np.zeros(1 + k + k * k)
+    vec = np.zeros(4 * k * k)
     for r in sums:
         vec[r["idx"]] = r["v"]
-    n, s1, s2 = vec[0], vec[1:1 + k], vec[1 + k:].reshape(k, k)
+    n, s1, s2, cross = vec.reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = s2 - s1 * s1 / n
+        r = (cross - s1 * s1.T / n) / np.sqrt(spread * spread.T)
+    r[n < 2] = np.nan
     rows = []
-    if n > 1:
-        cov = (s2 - np.outer(s1, s1) / n) / (n - 1)
-        sd = np.sqrt(np.diag(cov))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = cov / np.outer(sd, sd)
-    else:
-        r = np.full((k, k), np.nan)
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             v = float(r[i, j])
@@ -204,19 +199,23 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def kind_of(dtype: T.DataType) -> str:
+    """'numeric', 'temporal', 'boolean' or 'categorical', by type family."""
+    if isinstance(dtype, T.NumericType):
+        return "numeric"
+    if isinstance(dtype, (T.DatetimeType, T.TimestampNTZType)):
+        return "temporal"
+    return "boolean" if isinstance(dtype, T.BooleanType) else "categorical"
+
+
 def column_kinds(df: DataFrame) -> DataFrame:
-    """(name, kind): timestamps and strings are 'categorical', everything else 'numeric'."""
-    rows = [(f.name, "categorical" if isinstance(f.dataType, (T.TimestampType, T.StringType))
-             else "numeric") for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "name string, kind string")
-
-
-def split_column_kinds(df: DataFrame, exclude: list[str] = ()) -> tuple[list[str], list[str]]:
-    """(categorical, numeric) column names, excluding ``exclude``."""
-    cat = [f.name for f in df.schema.fields
-           if isinstance(f.dataType, (T.TimestampType, T.StringType)) and f.name not in exclude]
-    num = [c for c in df.columns if c not in cat and c not in exclude]
-    return cat, num
+    """(name, kind) of every column."""
+    return df.sparkSession.createDataFrame([(f.name, kind_of(f.dataType)) for f in df.schema.fields],
+                                           "name string, kind string")
+
+
+def columns_of_kind(df: DataFrame, *kinds: str) -> list[str]:
+    return [f.name for f in df.schema.fields if kind_of(f.dataType) in kinds]
 
 
 def total_order(df: DataFrame, first: list[str] = (), descending: bool = False) -> list[Column]:

@@ -2,58 +2,52 @@
 
 Spark's sampling is per partition and seeded by partition index, so a sample
 only repeats when the input partitioning repeats. Where repeatability matters
-the operators here derive the random draw from the row itself (a hash of all
-columns and the seed), which is independent of file layout and of task retries.
+the operators here derive the random draw from the row's own values, its
+occurrence number among rows with equal values, and the seed: independent of
+file layout and of task retries, and drawn apart for equal rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.profile import total_order
 
-_UNIT = float(2 ** 63)
 
-
-def row_draw(df: DataFrame, seed: int) -> F.Column:
-    """A uniform draw in [0, 1) that depends only on the row's values and ``seed``."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    return (F.abs(h.cast("double")) / _UNIT) % 1.0
+def with_draw(df: DataFrame, seed: int, keys: list[str] | None = None, name: str = "_draw") -> DataFrame:
+    """``df`` with a uniform draw in [0, 1): the first 32 bits of the MD5 of ``keys`` (default: all
+    columns), the row's occurrence number among rows that agree on them, and ``seed``."""
+    keys = keys or df.columns
+    same = Window.partitionBy(*keys).orderBy(*total_order(df, keys))
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys],
+                       F.row_number().over(same).cast("string"), F.lit(str(seed)))
+    return df.withColumn(name, F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(2 ** 32))
 
 
 def limit_rows(df: DataFrame, n: int, order: list[str] = ()) -> DataFrame:
     """The first ``n`` rows in a total order (``order`` first, then every column).
 
     ``orderBy().limit()`` becomes a top-k (``TakeOrderedAndProject``): each task
-    keeps its best ``n`` rows and one task merges them.
+    keeps its best ``n`` rows and one task merges them, so ``n`` must be a number of
+    rows that one task can hold whatever the table's size.
     """
     return df.orderBy(*total_order(df, order)).limit(n)
 
 
-def sample_rows(df: DataFrame, fraction: float = 0.05, seed: int = 42, exact_repeat: bool = True) -> DataFrame:
-    """Bernoulli sample. ``exact_repeat`` draws from the row hash, so the same rows
-    come back whatever the partitioning; otherwise Spark's own ``sample``."""
-    if not exact_repeat:
-        return df.sample(fraction=fraction, seed=seed)
-    return df.filter(row_draw(df, seed) < fraction)
+def sample_rows(df: DataFrame, fraction: float = 0.05, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """Bernoulli sample that comes back the same whatever the partitioning (see :func:`with_draw`)."""
+    return with_draw(df, seed, keys).filter(F.col("_draw") < fraction).drop("_draw")
 
 
 def random_split(df: DataFrame, weights: list[float] = (0.7, 0.3), seed: int = 42,
-                 exact_repeat: bool = True) -> list[DataFrame]:
-    """Disjoint, complete random split.
-
-    ``exact_repeat`` cuts the row-hash draw at the cumulative weights (each split
-    is one filter over the same scan, no sort); otherwise Spark's ``randomSplit``
-    (which sorts every partition to make its draws repeatable).
-    """
-    if not exact_repeat:
-        return df.randomSplit(list(weights), seed)
+                 keys: list[str] | None = None) -> list[DataFrame]:
+    """Disjoint, complete random split: the draw of :func:`with_draw` cut at the cumulative weights."""
     total = float(sum(weights))
     bounds, acc = [], 0.0
     for w in weights:
         bounds.append((acc / total, (acc + w) / total))
         acc += w
     bounds[-1] = (bounds[-1][0], 1.0 + 1e-9)
-    u = row_draw(df, seed)
-    return [df.filter((u >= lo) & (u < hi)) for lo, hi in bounds]
+    drawn = with_draw(df, seed, keys)
+    return [drawn.filter((F.col("_draw") >= lo) & (F.col("_draw") < hi)).drop("_draw") for lo, hi in bounds]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,18 @@ def scale_stage(inp: str = "features_unscaled", out: str = "features", with_mean
     return StandardScaler(inputCol=inp, outputCol=out, withMean=with_mean, withStd=with_std)
 
 
-def check_max_bins(df: DataFrame, categorical: list[str], max_bins: int) -> dict[str, int]:
-    """Fail early (one aggregate job) when a categorical column has more values than
-    a tree can split on: ``maxBins`` must cover every category plus the 'keep' bucket."""
-    counts = df.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first().asDict()
+def fitted_index(df: DataFrame, categorical: list[str], max_bins: int | None = None,
+                 handle_invalid: str = "keep", suffix: str = "_Index") -> StringIndexerModel:
+    """The fitted indexer (one pass). With ``max_bins`` it fails early when a column has more values
+    than a tree can split on: they must cover every category plus the 'keep' bucket."""
+    model = index_stage(categorical, handle_invalid, suffix).fit(df)
+    if max_bins is not None:
+        check_max_bins(model, categorical, max_bins)
+    return model
+
+
+def check_max_bins(indexer: StringIndexerModel, categorical: list[str], max_bins: int) -> dict[str, int]:
+    counts = dict(zip(categorical, map(len, indexer.labelsArray)))
     too_many = {c: n for c, n in counts.items() if n + 1 > max_bins}
     if too_many:
         raise ValueError(f"maxBins={max_bins} is below the category count (+1) of {too_many}")

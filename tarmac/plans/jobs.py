@@ -2,25 +2,26 @@
 
 Every job returns DataFrames (predictions, reports); metrics come from
 :mod:`tarmac.operators.metrics`, so nothing is collected row by row. Inputs that
-several fits read are persisted once and released at the end.
+several passes read are written once to the shared folder: a lost executor rereads
+files, and no cache outlives the job.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.labels import threshold_label
 from tarmac.operators import metrics as M
-from tarmac.operators.profile import group_avg, group_profile, present_columns, split_column_kinds
+from tarmac.operators.clean import dropna_any
+from tarmac.operators.profile import columns_of_kind, group_avg, group_profile, present_columns
 from tarmac.operators.sampling import random_split, sample_rows
 from tarmac.plans import features as FE
 from tarmac.plans import models as MO
-from tarmac.session import checkpoint_root
+from tarmac.session import stored
 from tarmac.schema import (CATEGORICAL_FEATURES, CLASSIFIER_NUMERIC_FEATURES, CLUSTER_INDEXED_FEATURES,
                            CLUSTER_NUMERIC_FEATURES, DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM,
                            RELEVANCE_NUMERIC_FEATURES, SVM_DROPPED_COLUMNS)
@@ -32,9 +33,10 @@ def classifier_features() -> list[str]:
     return CLASSIFIER_NUMERIC_FEATURES + [c + "_Index" for c in CATEGORICAL_FEATURES]
 
 
-def classifier_pipeline(estimator) -> Pipeline:
-    """Index the six categorical columns ('keep' invalid), assemble with the numeric ones, then fit."""
-    return Pipeline(stages=[FE.index_stage(CATEGORICAL_FEATURES, "keep"),
+def classifier_pipeline(estimator, indexer=None) -> Pipeline:
+    """Index the six categorical columns ('keep' invalid; or an indexer fitted before), assemble with
+    the numeric ones, then fit."""
+    return Pipeline(stages=[indexer or FE.index_stage(CATEGORICAL_FEATURES, "keep"),
                             FE.assemble_stage(classifier_features()), estimator])
 
 
@@ -53,16 +55,15 @@ def report_table(pred: DataFrame, label: str = LABEL, score: str | None = "score
     spark = pred.sparkSession
     data = pred.select(F.col(label).cast("double").alias("label"), "prediction",
                        *([F.col(score).alias("score")] if score else []))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = stored(data, "scores")
     w = M.weighted_metrics(data).first()
     rows = [("accuracy", w["accuracy"]), ("weighted_precision", w["weighted_precision"]),
             ("weighted_recall", w["weighted_recall"]), ("weighted_f1", w["weighted_f1"])]
-    for r in M.per_class_metrics(data).collect():  # one row per class
+    for r in M.per_class_metrics(data).where("label IS NOT NULL").collect():  # one row per class
         k = int(r["label"])
         rows += [(f"precision_{k}", r["precision"]), (f"recall_{k}", r["recall"]), (f"f1_{k}", r["f1"])]
     if score:
         rows.append(("auc", M.auc_rank(data).first()["auc"]))
-    data.unpersist()
     return spark.createDataFrame([(m, float(v) if v is not None else None) for m, v in rows],
                                  "metric string, value double")
 
@@ -82,9 +83,9 @@ def train_delay_classifier(clean: DataFrame, kind: str = "rf", threshold: float
     included); pass held-out rows to :func:`report_table` for an unbiased figure.
     """
     spark = clean.sparkSession
-    data = clean.withColumn(LABEL, threshold_label("ArrDelay", threshold))
+    data = stored(clean.withColumn(LABEL, threshold_label("ArrDelay", threshold)), "labelled")
     if kind == "rf":
-        FE.check_max_bins(data, CATEGORICAL_FEATURES, MO.RF_MAX_BINS)
+        FE.fitted_index(data, CATEGORICAL_FEATURES, MO.RF_MAX_BINS)  # fails early; the search fits its own
         est = MO.rf_classifier(LABEL, seed=seed)
         grid = MO.RF_GRID if grid is None else grid
     elif kind == "lr":
@@ -92,7 +93,6 @@ def train_delay_classifier(clean: DataFrame, kind: str = "rf", threshold: float
         grid = MO.LR_GRID if grid is None else grid
     else:
         raise ValueError(f"unknown classifier {kind}")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     tvs = MO.tune(classifier_pipeline(est), est, grid, LABEL, train_ratio, parallelism, seed)
     model = tvs.fit(data)
     pred = model.transform(data).withColumn("score", positive_score())
@@ -100,41 +100,47 @@ def train_delay_classifier(clean: DataFrame, kind: str = "rf", threshold: float
     importances = (MO.importance_table(spark, classifier_features(), best.featureImportances)
                    if hasattr(best, "featureImportances") else None)
     report = report_table(pred)
-    return TrainResult(model, pred, report, MO.grid_table(spark, model), importances,
-                       {"persisted": data})
+    return TrainResult(model, pred, report, MO.grid_table(spark, model), importances)
 
 
 def svm_delay_job(flights: DataFrame, threshold: float = DELAY_THRESHOLD_CHARTS, seed: int = 42,
-                  max_iter: int = MO.SVC_MAX_ITER, reg: float = MO.SVC_REG,
-                  output: str | None = None) -> TrainResult:
+                  max_iter: int = MO.SVC_MAX_ITER, reg: float = MO.SVC_REG, output: str | None = None,
+                  max_categories: int = MO.SVC_MAX_CATEGORIES, keys: list[str] | None = None) -> TrainResult:
     """Linear SVM on every usable column: strings one-hot encoded, numbers as they are.
 
-    Columns that give the label away are dropped first; date columns (not
-    assemblable) are left out; rows with NULL categories or numbers are skipped.
-    70/30 random split; optionally both parts are written as parquet to ``output``.
+    Columns that give the label away and dates are left out, and so are strings of more than
+    ``max_categories`` values, whose names ``extra["wide"]`` gives. Rows with a NULL in a column
+    used, or without a label, cannot be assembled: they go first, and the report counts them as
+    ``rows_with_null``. 70/30 random split; with ``output`` both parts are written there as parquet, and
+    the unfitted pipeline and the fitted model are saved beside them.
     """
-    data = flights.withColumn("Delay", threshold_label("ArrDelay", threshold)).drop(*SVM_DROPPED_COLUMNS)
-    # Reliable checkpoint in the shared folder: the split, the stage fits and the
-    # optimiser passes read stored rows instead of the full lineage (which also
-    # keeps Catalyst's constraint inference small), and a lost executor recomputes
-    # nothing upstream.
-    checkpoint_root(data.sparkSession)
-    data = data.checkpoint(eager=True)
-    dates = [f.name for f in data.schema.fields if f.dataType.typeName() == "date"]
-    cat, num = split_column_kinds(data.drop(*dates), exclude=["Delay"])
-    train, val = random_split(data, [0.7, 0.3], seed)
+    data = stored(flights.withColumn("Delay", F.when(F.col("ArrDelay").isNotNull(), threshold_label("ArrDelay", threshold)))
+                  .drop(*SVM_DROPPED_COLUMNS), "svm-input")
+    cat = columns_of_kind(data, "categorical")
+    sizes = data.agg(*[F.approx_count_distinct(c).alias(c) for c in cat]).first().asDict() if cat else {}
+    wide = [c for c in cat if sizes[c] > max_categories]
+    cat = [c for c in cat if c not in wide]
+    num = [c for c in columns_of_kind(data, "numeric", "boolean") if c != "Delay"]
+    usable = stored(dropna_any(data, [*cat, *num, "Delay"]), "svm-rows")
+    skipped = data.count() - usable.count()
+    train, val = random_split(usable, [0.7, 0.3], seed, keys)
     if output:
         train.write.mode("overwrite").parquet(f"{output}/train")
         val.write.mode("overwrite").parquet(f"{output}/validation")
+        train, val = (usable.sparkSession.read.parquet(f"{output}/{part}") for part in ("train", "validation"))
     index_cols = [c + " Index" for c in cat]
-    stages = [FE.index_stage(cat, "skip", " Index"), FE.one_hot_stage(index_cols),
-              FE.assemble_stage([c + " OHE" for c in cat] + num, handle_invalid="skip"),
-              MO.linear_svc("Delay", max_iter, reg)]
+    stages = [FE.index_stage(cat, "keep", " Index"), FE.one_hot_stage(index_cols),
+              FE.assemble_stage([c + " OHE" for c in cat] + num), MO.linear_svc("Delay", max_iter, reg)]
     pipeline = Pipeline(stages=stages)
     model = pipeline.fit(train)
+    if output:
+        MO.save(pipeline, f"{output}/pipeline")
+        MO.save(model, f"{output}/model")
     pred = model.transform(val).withColumn("score", positive_score("rawPrediction"))
-    report = report_table(pred, label="Delay")
-    return TrainResult(model, pred, report, extra={"pipeline": pipeline})
+    spark = flights.sparkSession
+    report = report_table(pred, label="Delay").unionByName(
+        spark.createDataFrame([("rows_with_null", float(skipped))], "metric string, value double"))
+    return TrainResult(model, pred, report, extra={"pipeline": pipeline, "wide": wide, "rows_with_null": skipped})
 
 
 def cluster_pipeline(df: DataFrame, k: int = MO.KMEANS_K, seed: int = MO.KMEANS_SEED) -> Pipeline:
@@ -154,6 +160,7 @@ def cluster_job(clean: DataFrame, k: int = MO.KMEANS_K, seed: int = MO.KMEANS_SE
     The profile uses every row by default (it is one distributed aggregation);
     ``profile_fraction`` reproduces a sampled profile.
     """
+    clean = stored(clean, "cluster-input")
     model = cluster_pipeline(clean, k, seed).fit(clean)
     clustered = model.transform(clean)
     avg = group_avg(clustered, "cluster", ["DepDelay", "ArrDelay"])
@@ -167,8 +174,8 @@ def relevance_job(clean: DataFrame, label: str = "DepDelay", num_trees: int = MO
                   seed: int = MO.RELEVANCE_SEED, max_bins: int = MO.RELEVANCE_MAX_BINS) -> DataFrame:
     """Random-forest regression of a delay; returns the ranked feature importances."""
     feats = RELEVANCE_NUMERIC_FEATURES + [c + "_Index" for c in CATEGORICAL_FEATURES]
-    FE.check_max_bins(clean, CATEGORICAL_FEATURES, max_bins)
-    pipe = Pipeline(stages=[FE.index_stage(CATEGORICAL_FEATURES, "keep"), FE.assemble_stage(feats),
+    clean = stored(clean, "relevance-input")
+    pipe = Pipeline(stages=[FE.fitted_index(clean, CATEGORICAL_FEATURES, max_bins), FE.assemble_stage(feats),
                             MO.rf_regressor(label, num_trees, seed, max_bins)])
     model: PipelineModel = pipe.fit(clean)
     return MO.importance_table(clean.sparkSession, feats, model.stages[-1].featureImportances)

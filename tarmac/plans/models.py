@@ -22,6 +22,7 @@ RF_MAX_BINS = 512
 RF_GRID = {"numTrees": [20, 50], "maxDepth": [10, 15]}
 LR_GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
 SVC_MAX_ITER, SVC_REG = 10, 0.1
+SVC_MAX_CATEGORIES = 1_000  # values of a string column that is still one-hot encoded
 TRAIN_RATIO = 0.8
 
 
@@ -93,6 +94,10 @@ def importance_table(spark: SparkSession, names: list[str], importances) -> Data
     return df.withColumn("rank", F.row_number().over(w))
 
 
+def top_importances(table: DataFrame, n: int = 10) -> DataFrame:
+    return table.where(F.col("rank") <= n)
+
+
 def save(obj, path: str) -> str:
     obj.write().overwrite().save(path)
     return path

@@ -13,8 +13,8 @@ from tarmac.operators import profile as P
 from tarmac.operators.sampling import limit_rows
 from tarmac.registry import register
 from tarmac.registry.sql import CLEAN_COLUMN_NAMES, with_views
-from tarmac.schema import (CLEAN_COLUMNS, CLEAN_SCHEMA, CLUSTER_NUMERIC_FEATURES,
-                           CORRELATION_FEATURES, DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM)
+from tarmac.schema import (CITY_STATE_PARTS, CLEAN_COLUMNS, CLEAN_SCHEMA, CLUSTER_NUMERIC_FEATURES,
+                           CORRELATION_FEATURES, DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM, WEEKDAY_NAMES)
 from tarmac.sources.fixtures import flights_clean, flights_raw
 
 T15, T5 = DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM
@@ -55,13 +55,7 @@ def q_trim_headers(spark, sf):
     return C.trim_headers(raw)
 
 
-@register("derive_times", with_views("""
-SELECT flight_id, Year, Quarter, Month, DayOfWeek, Operated_or_Branded_Code_Share_Partners,
-       Operating_Airline, Flight_Number_Operating_Airline, Origin, Dest, OriginCityName,
-       OriginStateName, DestCityName, DestStateName, CRSDepTime, DepTime, TaxiOut, WheelsOff,
-       WheelsOn, TaxiIn, CRSArrTime, ArrTime, CRSElapsedTime, ActualElapsedTime, AirTime,
-       Distance, DistanceGroup, DepDelay, ArrDelay
-FROM flights_derived""", "flights_derived"))
+@register("derive_times", with_views("SELECT * FROM flights_derived", "flights_derived"))
 def q_derive_times(spark, sf):
     return C.derive_times(C.drop_columns(flights_raw(spark, sf)))
 
@@ -83,11 +77,8 @@ def q_filter_delayed(spark, sf):
     return flights_clean(spark, sf).filter(F.col("ArrDelay") > T15)
 
 
-_RAW_KEPT = ["flight_id", "Year", "Quarter", "Month", "DayOfWeek", "Operated_or_Branded_Code_Share_Partners",
-             "Operating_Airline", "Flight_Number_Operating_Airline", "Origin", "Dest", "OriginCityName",
-             "OriginStateName", "DestCityName", "DestStateName", "CRSDepTime", "DepTime", "TaxiOut",
-             "WheelsOff", "WheelsOn", "TaxiIn", "CRSArrTime", "ArrTime", "CRSElapsedTime",
-             "ActualElapsedTime", "AirTime", "Distance", "DistanceGroup"]
+# raw columns that the dismissed list leaves
+_RAW_KEPT = CLEAN_COLUMN_NAMES[:-2] + [p for pair in CITY_STATE_PARTS.values() for p in pair]
 
 
 @register("dropna_any", with_views(
@@ -128,23 +119,6 @@ def q_typed_cast(spark, sf):
     return C.typed_select(as_text, CLEAN_SCHEMA).withColumn("flight_id", F.col("flight_id").cast("long"))
 
 
-@register("column_kinds")
-def q_column_kinds(spark, sf):
-    return P.column_kinds(flights_raw(spark, sf))
-
-
-@register("present_columns")
-def q_present_columns(spark, sf):
-    clean = flights_clean(spark, sf)
-    names = P.present_columns(clean, CORRELATION_FEATURES)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, name string")
-
-
-@register("schema_table")
-def q_schema_table(spark, sf):
-    return P.schema_table(flights_clean(spark, sf))
-
-
 # ---------------------------------------------------------------- scalar functions
 _M = "cast(floor({c} / 100) * 60 + {c} % 100 AS int)"
 
@@ -349,15 +323,15 @@ def q_preview(spark, sf):
     return P.preview(flights_clean(spark, sf), 20)
 
 
-# the reference caps its stream feed at 500 000 rows
-FEED_ROWS = 500_000
+# a cap that really cuts, at every scale of the test tables
+FIRST_ROWS = 1_000
 
 
 @register("limit_rows", with_views(
-    f"SELECT * FROM flights_clean ORDER BY {_order_sql([], CLEAN_COLUMN_NAMES, False)} LIMIT {FEED_ROWS}",
+    f"SELECT * FROM flights_clean ORDER BY {_order_sql([], CLEAN_COLUMN_NAMES, False)} LIMIT {FIRST_ROWS}",
     "flights_clean"))
 def q_limit_rows(spark, sf):
-    return limit_rows(flights_clean(spark, sf), FEED_ROWS)
+    return limit_rows(flights_clean(spark, sf), FIRST_ROWS)
 
 
 # ---------------------------------------------------------------- code -> names
@@ -369,10 +343,11 @@ def q_label_names(spark, sf):
     return top.select(delay_label_name("Tem_ArrDelay").alias("Tem_ArrDelay"), "count")
 
 
+_WEEKDAY_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in WEEKDAY_NAMES.items())
+
+
 @register("weekday_names", with_views(f"""
-SELECT CASE DayOfWeek WHEN 1 THEN 'Segunda' WHEN 2 THEN 'Terça' WHEN 3 THEN 'Quarta'
-       WHEN 4 THEN 'Quinta' WHEN 5 THEN 'Sexta' WHEN 6 THEN 'Sábado' WHEN 7 THEN 'Domingo' END AS DayOfWeek,
-       count(*) AS count
+SELECT CASE DayOfWeek {_WEEKDAY_CASES} END AS DayOfWeek, count(*) AS count
 FROM flights_clean WHERE ArrDelay > {T5} GROUP BY flights_clean.DayOfWeek""", "flights_clean"))
 def q_weekday_names(spark, sf):
     byday = P.group_count(_labelled(spark, sf).filter(F.col("Tem_ArrDelay") == 1), "DayOfWeek")

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from tarmac.registry import register
-from tarmac.registry.batch import FEED_ROWS, _order_sql
-from tarmac.registry.sql import CLEAN_COLUMN_NAMES, with_views
+from tarmac.registry.sql import with_views
 from tarmac.session import shared_path
 from tarmac.sources import files as FI
 from tarmac.sources.fixtures import flights_clean
-from tarmac.operators.sampling import limit_rows
 
 _CLEAN = with_views("SELECT * FROM flights_clean", "flights_clean")
 
@@ -19,26 +17,17 @@ def q_scan_csv(spark, sf):
     return FI.scan_csv(spark, path)
 
 
-@register("scan_csv_infer")
+@register("scan_csv_infer", _CLEAN)
 def q_scan_csv_infer(spark, sf):
     path = FI.write_csv(flights_clean(spark, sf), shared_path(spark, "clean-csv"))
     return FI.scan_csv(spark, path, infer=True)
 
 
-@register("sink_csv_single", _CLEAN)
-def q_sink_csv_single(spark, sf):
-    # the whole table as one CSV file (one writing task), refusing to overwrite
-    path = FI.write_csv(flights_clean(spark, sf), shared_path(spark, "clean-one-csv"), single_file=True)
-    return FI.scan_csv(spark, path)
-
-
-@register("sink_csv_parts", with_views(
-    f"SELECT * FROM flights_clean ORDER BY {_order_sql([], CLEAN_COLUMN_NAMES, False)} LIMIT {FEED_ROWS}",
-    "flights_clean"))
+@register("sink_csv_parts", _CLEAN)
 def q_sink_csv_parts(spark, sf):
-    # the stream feed: the first rows of the clean table, one file per partition, overwrite
-    feed = limit_rows(flights_clean(spark, sf), FEED_ROWS)
-    path = FI.write_csv(feed, shared_path(spark, "feed-csv"), mode="overwrite")
+    # the stream feed: the whole clean table in files of at most 20 000 rows, overwrite
+    path = FI.write_csv(flights_clean(spark, sf), shared_path(spark, "feed-csv"), mode="overwrite",
+                        rows_per_file=20_000)
     return FI.scan_csv(spark, path)
 
 

@@ -26,7 +26,8 @@ def q_prediction_counts(spark, sf):
 
 @register("confusion_matrix", with_views("""
 SELECT label, count(*) FILTER (WHERE prediction = 0.0) AS pred_0,
-       count(*) FILTER (WHERE prediction = 1.0) AS pred_1
+       count(*) FILTER (WHERE prediction = 1.0) AS pred_1,
+       count(*) FILTER (WHERE prediction IS NULL OR prediction NOT IN (0.0, 1.0)) AS pred_other
 FROM predictions GROUP BY label"""))
 def q_confusion_matrix(spark, sf):
     return M.confusion_matrix(predictions(spark, sf))
@@ -36,7 +37,8 @@ _BIN_CELLS = """
 SELECT count(*) FILTER (WHERE label = 1.0 AND prediction = 1.0) AS tp,
        count(*) FILTER (WHERE label <> 1.0 AND prediction <> 1.0) AS tn,
        count(*) FILTER (WHERE label <> 1.0 AND prediction = 1.0) AS fp,
-       count(*) FILTER (WHERE label = 1.0 AND prediction <> 1.0) AS fn
+       count(*) FILTER (WHERE label = 1.0 AND prediction <> 1.0) AS fn,
+       count(*) FILTER (WHERE label IS NULL OR prediction IS NULL) AS unjudged
 FROM predictions"""
 _BIN_RATIOS = """
 SELECT *, tp::double / NULLIF(tp + fp, 0) AS precision, tp::double / NULLIF(tp + fn, 0) AS recall
@@ -44,7 +46,7 @@ FROM bin_cells"""
 
 
 @register("binary_metrics", with_views("""
-SELECT tp, tn, fp, fn,
+SELECT tp, tn, fp, fn, unjudged,
        round((tp + tn)::double / NULLIF(tp + tn + fp + fn, 0), 6) AS accuracy,
        round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(tn::double / NULLIF(tn + fp, 0), 6) AS specificity,

@@ -41,7 +41,9 @@ SELECT
   cast(floor((200 + l_partkey % 2000) / 250) + 1 AS int) AS DistanceGroup,
   l_returnflag = 'R' AS Cancelled,
   false AS Diverted,
-  CASE WHEN l_returnflag = 'R' THEN 'B' ELSE NULL END AS CancellationCode
+  CASE WHEN l_returnflag = 'R' THEN 'B' ELSE NULL END AS CancellationCode,
+  cast(CASE WHEN l_orderkey % 2 = 1 THEN dep_m - crs - 1440 END AS double) AS DepDelay,
+  cast(CASE WHEN l_partkey % 2 = 1 THEN dep_m - crs - 1440 END AS double) AS ArrDelay
 FROM (
   SELECT *, d AS dep_m, d + 60 + l_partkey % 240 + l_linenumber AS arr_m,
          crs + 60 + l_partkey % 240 AS arrs_m,

@@ -1,6 +1,6 @@
 """Streaming queries.
 
-Each one publishes the clean flights as message files (two batches) in the
+Each one publishes the clean flights as message files (in ``ROUNDS`` folders) in the
 shared folder, runs a Structured Streaming query over them to completion
 (``availableNow``), and returns what the sink holds -- so a stream is checked
 against the batch answer for the same rows.
@@ -13,13 +13,11 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions.json import json_object_of_strings
 from tarmac.operators.profile import last_rows
-from tarmac.plans import jobs as J
-from tarmac.plans import models as MO
 from tarmac.registry import register
 from tarmac.registry.batch import _PAYLOAD_DUCK, _STRUCT_DUCK
-from tarmac.registry.sql import CLEAN_COLUMN_NAMES, with_views
+from tarmac.registry.ml import TAXI_RULE, rule_search
+from tarmac.registry.sql import with_views
 from tarmac.schema import CLEAN_COLUMNS, DELAY_THRESHOLD_STREAM
 from tarmac.session import shared_path
 from tarmac.sources import catalog as CA
@@ -39,16 +37,20 @@ def _name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:10]}"
 
 
-def _feed(spark, sf, batches: int = 2) -> str:
-    """Message files of the clean flights (every column, id included), in ``batches`` folders."""
+ROUNDS = 4  # message folders, and about as many micro-batches
+
+
+def _feed(spark, sf) -> str:
+    """Message files of the clean flights (every column, id included), in ``ROUNDS`` folders by id."""
     path = shared_path(spark, "feed")
-    write_message_files(flights_clean(spark, sf), path, batches=batches)
+    write_message_files(flights_clean(spark, sf), path, batches=ROUNDS, order="flight_id")
     return path
 
 
-def _stream(spark, path, max_files=None):
-    # the batch=<i> folder names may surface as a column: keep the message only
-    return SQ.message_file_stream(spark, path, max_files).select("value")
+def _stream(spark, path):
+    """The feed as a stream of several micro-batches; ``batch`` is the folder a message lies in."""
+    files = len(spark.read.text(path).inputFiles())
+    return SQ.message_file_stream(spark, path, max(1, files // ROUNDS))
 
 
 def _run_append(spark, df, prefix):
@@ -68,7 +70,7 @@ def _run_complete(spark, df, prefix):
 
 @register("stream_source", with_views(f"SELECT {_PAYLOAD_DUCK} AS value FROM flights_clean", "flights_clean"))
 def q_stream_source(spark, sf):
-    return _run_append(spark, _stream(spark, _feed(spark, sf)), "source")
+    return _run_append(spark, _stream(spark, _feed(spark, sf)).select("value"), "source")
 
 
 @register("decode_stream", _DECODED_SQL)
@@ -81,7 +83,7 @@ def q_decode_stream(spark, sf):
     "flights_clean"))
 def q_json_fields(spark, sf):
     # the 26 single-path extractions over the published messages (batch read of the feed)
-    msgs = spark.read.text(_feed(spark, sf, 1)).select("value")
+    msgs = spark.read.text(_feed(spark, sf)).select("value")
     return decode_paths(msgs)
 
 
@@ -116,52 +118,54 @@ def q_stream_delays_by_weekday(spark, sf):
     return _run_complete(spark, SQ.delays_by_weekday(stream), "byday")
 
 
-def _model(spark, sf):
-    data = flights_clean(spark, sf).withColumn(J.LABEL, F.when(F.col("ArrDelay") > T5, 1).otherwise(0))
-    return J.classifier_pipeline(MO.logistic_regression(J.LABEL)).fit(data)
+_SCORED_SQL = (f"SELECT *, {_LABEL_SQL} AS Tem_ArrDelay, CASE WHEN TaxiOut > {TAXI_RULE} THEN 1.0 ELSE 0.0 END :: double "
+               "AS prediction FROM flights_clean")
 
 
-def _scored_stream(spark, sf, max_files=None):
-    model = _model(spark, sf)
-    stream = decode_flights(_stream(spark, _feed(spark, sf), max_files))
-    return SQ.score_stream(stream, model)
+def _with_scored(select: str) -> str:
+    return with_views(select, "flights_clean", [("scored", _SCORED_SQL)])
 
 
-@register("stream_score")
+@register("stream_score", _with_scored(
+    f"SELECT {', '.join(CLEAN_COLUMNS[:4])}, ArrDelay, Tem_ArrDelay, prediction FROM scored"))
 def q_stream_score(spark, sf):
-    scored = _scored_stream(spark, sf).select(*CLEAN_COLUMNS[:4], "ArrDelay", "Tem_ArrDelay", "prediction")
-    return _run_append(spark, scored, "score")
+    # live rows scored by a search model that was saved and loaded
+    scored = SQ.score_stream(decode_flights(_stream(spark, _feed(spark, sf))), rule_search(spark, sf))
+    return _run_append(spark, scored.select(*CLEAN_COLUMNS[:4], "ArrDelay", "Tem_ArrDelay", "prediction"), "score")
 
 
-@register("prediction_vs_truth")
+@register("prediction_vs_truth", _with_scored(
+    "SELECT flight_id AS offset, prediction, ArrDelay, Tem_ArrDelay FROM scored "
+    "ORDER BY flight_id DESC, ArrDelay DESC, Tem_ArrDelay DESC, prediction DESC LIMIT 10"))
 def q_prediction_vs_truth(spark, sf):
-    scored = _scored_stream(spark, sf)
-    visible = [c for c in CLEAN_COLUMNS if c in scored.columns and c != "ArrDelay"]
-    sink = _run_append(spark, scored.select(*visible, "ArrDelay", "Tem_ArrDelay", "prediction"), "pvt")
-    tail = last_rows(sink, 10)
-    return tail.select("prediction", "ArrDelay", "Tem_ArrDelay")
-
-
-@register("stream_report")
+    # the last rows by arrival: records carry their offset from the topic's envelope to the sink
+    path = shared_path(spark, "topic")
+    records = envelope(flights_clean(spark, sf))
+    records.write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    stream = (spark.readStream.schema(records.schema).option("maxFilesPerTrigger", str(max(1, files // ROUNDS))).parquet(path))
+    scored = SQ.score_stream(decode_flights(stream, keep=["partition", "offset"]), rule_search(spark, sf))
+    sink = _run_append(spark, scored.select("offset", "prediction", "ArrDelay", "Tem_ArrDelay"), "pvt")
+    return last_rows(sink, 10, ["offset", "ArrDelay", "Tem_ArrDelay", "prediction"])
+
+
+@register("stream_report", _with_scored(
+    f"SELECT cast(flight_id % {ROUNDS} AS int) AS batch, DayOfWeek, count(*) AS rows, count(*) FILTER (WHERE Tem_ArrDelay = 1) AS delayed, "
+    "count(*) FILTER (WHERE prediction = 1.0) AS predicted_delayed, "
+    "count(*) FILTER (WHERE (Tem_ArrDelay = 1) = (prediction = 1.0)) AS correct FROM scored GROUP BY 1, 2"))
 def q_stream_report(spark, sf):
-    scored = _scored_stream(spark, sf, max_files=8)
+    # one table per micro-batch and message folder; a folder's files may come in several micro-batches
+    stream = decode_flights(_stream(spark, _feed(spark, sf)), keep=["batch"])
     out = shared_path(spark, "report")
-    q = SQ.start_report(scored, out, shared_path(spark, "report-ckpt"), _name("report"))
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-@register("stream_status")
-def q_stream_status(spark, sf):
-    stream = decode_flights(_stream(spark, _feed(spark, sf)))
-    name = _name("status")
-    q = SQ.start_append(stream, name, shared_path(spark, "status-out"), shared_path(spark, "status-ckpt"))
+    q = SQ.start_report(SQ.score_stream(stream, rule_search(spark, sf)), out, shared_path(spark, "report-ckpt"),
+                        _name("report"), by=["batch"])
     q.awaitTermination()
-    return SQ.query_status(spark, q)
+    sums = [F.sum(c).alias(c) for c in ("rows", "delayed", "predicted_delayed", "correct")]
+    return spark.read.parquet(out).groupBy("batch", "DayOfWeek").agg(*sums)
 
 
 # ---------------------------------------------------------------- envelope / catalog
-_ENVELOPE_TS = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(flight_id)"
+_ENVELOPE_TS = "strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(flight_id), '%Y-%m-%d %H:%M:%S')"
 
 
 @register("sql_read_sink", with_views(
@@ -172,7 +176,7 @@ def q_sql_read_sink(spark, sf):
     path = shared_path(spark, "envelope")
     envelope(flights_clean(spark, sf)).write.parquet(path)
     CA.register_path(spark, name, path)
-    return CA.read_sink(spark, name, raw_envelope=True)
+    return CA.read_sink(spark, name, raw_envelope=True).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("read_envelope", with_views(
@@ -183,28 +187,6 @@ def q_read_envelope(spark, sf):
     return envelope_view(envelope(flights_clean(spark, sf)))
 
 
-@register("list_tables")
-def q_list_tables(spark, sf):
-    name = _name("flight")
-    CA.register_path(spark, name, FI_write(spark, sf))
-    return CA.list_tables(spark).filter(F.col("tableName") == name)
-
-
-@register("reset_table")
-def q_reset_table(spark, sf):
-    name = _name("flight")
-    CA.register_path(spark, name, FI_write(spark, sf))
-    CA.reset_table(spark, name)
-    return spark.createDataFrame(
-        [(name, spark.catalog.tableExists(name))], "name string, exists_after_reset boolean")
-
-
-def FI_write(spark, sf) -> str:
-    path = shared_path(spark, "table")
-    flights_clean(spark, sf).write.parquet(path)
-    return path
-
-
 # ---------------------------------------------------------------- events table
 _EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),

@@ -38,7 +38,7 @@ DISMISSED_RAW_COLUMNS = [
     "DOT_ID_Marketing_Airline", "DOT_ID_Operating_Airline", "DayofMonth",
     "IATA_Code_Marketing_Airline", "IATA_Code_Operating_Airline", "Tail_Number",
     "Cancelled", "Diverted",
-    "CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelayCancellationCode",
+    "CarrierDelay", "WeatherDelay", "NASDelay", 
     "Originally_Scheduled_Code_Share_Airline", "DOT_ID_Originally_Scheduled_Code_Share_Airline",
     "IATA_Code_Originally_Scheduled_Code_Share_Airline", "Flight_Num_Originally_Scheduled_Code_Share_Airline",
     "FirstDepTime", "TotalAddGTime", "LongestAddGTime", "_c119", "LateAircraftDelay",
@@ -97,14 +97,14 @@ CATEGORICAL_FEATURES = [
     "DestCityNameState",
 ]
 
-# numeric inputs of the delay classifiers (arrival-side columns excluded)
+# --- fixed values: numeric inputs of the delay classifiers (arrival-side columns excluded) ---
 CLASSIFIER_NUMERIC_FEATURES = [
     "Year", "Quarter", "Month", "DayOfWeek", "Flight_Number_Operating_Airline",
     "CRSDepTime", "DepTime", "TaxiOut", "WheelsOff", "Distance", "DistanceGroup",
     "AirTime", "WheelsOn", "TaxiIn", "CRSElapsedTime", "ActualElapsedTime",
 ]
 
-# numeric columns of the correlation matrix
+# --- fixed values: numeric columns of the correlation matrix ---
 CORRELATION_FEATURES = [
     "Year", "Quarter", "Month", "DayOfWeek", "Flight_Number_Operating_Airline",
     "CRSDepTime", "DepTime", "DepDelay", "TaxiOut", "WheelsOff", "Distance",
@@ -112,7 +112,7 @@ CORRELATION_FEATURES = [
     "TaxiIn", "Cancelled", "Diverted", "CRSElapsedTime", "ActualElapsedTime",
 ]
 
-# numeric inputs of the clustering (indexed categoricals are appended)
+# --- fixed values: numeric inputs of the clustering (indexed categoricals are appended) ---
 CLUSTER_NUMERIC_FEATURES = [
     "Year", "Quarter", "Month", "DayOfWeek", "Flight_Number_Operating_Airline", "CRSDepTime",
     "DepTime", "TaxiOut", "WheelsOff", "Distance", "DistanceGroup", "AirTime", "CRSArrTime",
@@ -124,17 +124,17 @@ CLUSTER_INDEXED_FEATURES = [
     "DestCityNameState_Index",
 ]
 
-# numeric inputs of the feature-relevance forests (indexed categoricals appended)
+# --- fixed values: numeric inputs of the feature-relevance forests (indexed categoricals appended) ---
 RELEVANCE_NUMERIC_FEATURES = [
     "CRSDepTime", "DepTime", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn",
     "CRSArrTime", "ArrTime", "AirTime", "Distance", "CRSElapsedTime", "ActualElapsedTime",
     "Year", "Quarter", "Month", "DayOfWeek",
 ]
 
-# columns hidden from a model that predicts the arrival delay of a live flight
+# --- fixed values: columns hidden from a model that predicts the arrival delay of a live flight ---
 STREAM_HIDDEN_COLUMNS = ["DepDelay", "ArrDelay", "Tem_ArrDelay", "CRSArrTime", "ArrTime"]
 
-# columns removed before the linear SVM (leak / duplicate the label)
+# --- fixed values: columns removed before the linear SVM (leak / duplicate the label) ---
 SVM_DROPPED_COLUMNS = ["Operated_or_Branded_Code_Share_Partners", "DepDelay", "ArrDelay",
                        "ArrTime", "TaxiIn", "WheelsOn"]
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "tarmac", shuffle_partitions: int = 8,
@@ -35,22 +36,19 @@ def build_session(master: str | None = None, app: str = "tarmac", shuffle_partit
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir`` (one that every executor sees).
 
-    On a cluster it must be set (a folder every executor sees). Only a local
-    session without it gets a fresh folder of its own, as in tests.
+    Only a session whose executors are threads of the driver (``local[...]``) may leave it
+    unset, as in tests: it gets a folder of its own.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if base:
-            sc.setCheckpointDir(base)
-            base = sc.getCheckpointDir() or base
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="tarmac-ckpt-")
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            base = tempfile.mkdtemp(prefix="tarmac-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return base.rstrip("/")
@@ -59,3 +57,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet in the shared folder and read back, for jobs of several passes."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,11 +27,12 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = CLEAN
     return reader.csv(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> str:
-    """CSV with a header. ``single_file`` funnels all rows through one task (one part file):
-    use it only for small results; the default writes one file per partition in parallel."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists",
+              rows_per_file: int = 0) -> str:
+    """CSV with a header, written in parallel, in files of at most ``rows_per_file`` rows (0: one per
+    partition). ``single_file`` funnels all rows through one task: use it only for small results."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
     return path
 
 

@@ -27,30 +27,8 @@ def _hhmm(minutes: Column) -> Column:
     return F.floor(m / 60) * 100 + m % 60
 
 
-def spread(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Round-robin the rows over the session's cores when a scan yields fewer partitions.
-
-    A small table stored as one parquet row group is read by one task; spreading it
-    lets the per-row work after the scan use every core. A large table already has
-    more splits than cores and is returned unchanged (no shuffle).
-    """
-    import os
-    if os.environ.get("TARMAC_NO_SPREAD"):
-        return df
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a client session without RDD access: leave the plan as it is
-        return df
-    if have >= want:
-        return df
-    # hash partitioning on a key is repeatable on retry without the local sort
-    # that round-robin repartitioning needs
-    return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
 def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    li = spread(lineitem.select(*LINEITEM_COLUMNS), ["l_orderkey", "l_linenumber"])
+    li = lineitem.select(*LINEITEM_COLUMNS)
     ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     # shared intermediates in their own projection: each is referenced several
     # times below, so Catalyst keeps it computed once instead of inlining copies
@@ -104,45 +82,20 @@ def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
         cancelled.alias("Cancelled"),
         F.lit(False).alias("Diverted"),
         F.when(cancelled, F.lit("B")).alias("CancellationCode"),
+        # the delays as recorded, often missing; cleaning recomputes them from the clocks
+        F.when(ok % 2 == 1, F.col("_dep_m") - F.col("_crs") - 1440).cast("double").alias("DepDelay"),
+        F.when(pk % 2 == 1, F.col("_dep_m") - F.col("_crs") - 1440).cast("double").alias("ArrDelay"),
     )
 
 
-_VIEWS: dict[tuple, DataFrame] = {}
-
-
-def _view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build each view once per session and folder (DataFrames are immutable plans)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _VIEWS:
-        _VIEWS[key] = build()
-    return _VIEWS[key]
-
-
-def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and read it back.
-
-    Like the reference analysis, which exports the cleaned flights once and lets
-    every later job read that file: later queries start from a parallel parquet
-    scan (filter pushdown, column pruning) instead of recomputing the derivation,
-    and a lost executor re-reads stored rows rather than the whole lineage.
-    """
-    from tarmac.session import shared_path
-
-    path = shared_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
-
-
 def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw flight rows (hhmm clocks, nullable times, city and state apart), stored once per session."""
-    return _view(spark, sf_dir, "raw", lambda: _stored(
-        spark, flights_from_lineitem(read_table(spark, sf_dir, "lineitem")), "flights-raw"))
+    """Raw flight rows (hhmm clocks, nullable times, recorded delays, city and state apart)."""
+    return flights_from_lineitem(read_table(spark, sf_dir, "lineitem"))
 
 
 def flights_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned flights (:func:`tarmac.operators.clean.clean_flights`), stored once per session."""
-    return _view(spark, sf_dir, "clean", lambda: _stored(
-        spark, clean_flights(flights_raw(spark, sf_dir)), "flights-clean"))
+    """The cleaned flights: :func:`tarmac.operators.clean.clean_flights` over the raw rows."""
+    return clean_flights(flights_raw(spark, sf_dir))
 
 
 def predictions_view(clean: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -85,12 +85,13 @@ def score_stream(stream: DataFrame, model, hidden: list[str] = STREAM_HIDDEN_COL
     return scored
 
 
-def batch_report(label: str = "Tem_ArrDelay") -> Callable[[DataFrame], DataFrame]:
-    """Per-micro-batch summary of scored rows: rows, delayed, predicted delayed, correct."""
+def batch_report(label: str = "Tem_ArrDelay", by: list[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """Per-micro-batch table of scored rows by weekday: rows, delayed, predicted delayed, correct. The
+    running count, the label distribution and the weekday table of a round are sums of it."""
     def summarise(batch: DataFrame) -> DataFrame:
         y = F.col(label) == 1
         p = F.col("prediction") == 1.0
-        return batch.agg(
+        return batch.groupBy(*by, "DayOfWeek").agg(
             F.count(F.lit(1)).alias("rows"),
             F.count(F.when(y, 1)).alias("delayed"),
             F.count(F.when(p, 1)).alias("predicted_delayed"),
@@ -99,13 +100,14 @@ def batch_report(label: str = "Tem_ArrDelay") -> Callable[[DataFrame], DataFrame
 
 
 def start_report(scored: DataFrame, path: str, checkpoint: str, name: str = "report",
-                 available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """``foreachBatch`` report: one summary row per micro-batch appended to parquet at ``path``.
+                 available_now: bool = True, processing_time: str | None = None,
+                 by: list[str] = ()) -> StreamingQuery:
+    """``foreachBatch`` report: the table of each micro-batch appended to parquet at ``path``.
 
     The batch id is part of each row; a retried batch rewrites its own rows
     (dynamic partition overwrite by ``batch_id``), so reports stay exactly-once.
     """
-    summarise = batch_report()
+    summarise = batch_report(by=by)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (summarise(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -116,6 +118,13 @@ def start_report(scored: DataFrame, path: str, checkpoint: str, name: str = "rep
     return _trigger(w, available_now, processing_time).start()
 
 
+def report_rounds(report: DataFrame, by: str = "batch_id") -> DataFrame:
+    """A dashboard's numbers after each round: rows so far, delayed so far and correct so far."""
+    per = report.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("rows", "delayed", "predicted_delayed", "correct")])
+    so_far = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)  # one row for each round
+    return per.select(by, *[F.sum(c).over(so_far).alias(c) for c in ("rows", "delayed", "predicted_delayed", "correct")])
+
+
 def query_status(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Status of one streaming query (the one given, not just the first active one)."""
     st = query.status
