@@ -53,3 +53,18 @@ def test_json_literal_roundtrip_and_unescape_cases(spark):
     assert json.loads(got[0]) == json.loads(texts[0])
     assert json.loads(got[1]) == json.loads(texts[0])
     assert got[2] is None and got[3] is None
+
+
+def test_json_unescape_wants_exactly_one_value(spark):
+    from tarmac.functions.json import json_unescape
+    cases = {'1, "x"': None, '{"a":1} {"b":2}': None, '"x"': "x", '{"a":1}': '{"a":1}', "": None, "nope": None}
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    assert {r.v: r.j for r in df.select("v", json_unescape("v").alias("j")).collect()} == cases
+
+
+def test_long_ids_keep_every_digit(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from tarmac.functions.json import typed_from_string
+    df = spark.createDataFrame([("9007199254740993",), ("905.0",), ("x",), (None,)], "v string")
+    assert [r[0] for r in df.select(typed_from_string(F.col("v"), T.LongType())).collect()] == [9007199254740993, 905, None, None]

@@ -59,7 +59,7 @@ def test_save_load_gives_equal_scores(spark, clean):
 
 def test_max_bins_check_fails_early(clean):
     with pytest.raises(ValueError):
-        FE.check_max_bins(clean, ["Origin"], 10)
+        FE.fitted_index(clean, ["Origin"], 10)
 
 
 def test_svm_job_runs_and_splits(spark, sf):
@@ -69,5 +69,53 @@ def test_svm_job_runs_and_splits(spark, sf):
     res = J.svm_delay_job(derive_times(drop_columns(flights_raw(spark, sf))), output=out)
     n_train = spark.read.parquet(f"{out}/train").count()
     n_val = spark.read.parquet(f"{out}/validation").count()
-    assert n_train + n_val == flights_raw(spark, sf).count()
-    assert {r["metric"] for r in res.report.collect()} >= {"accuracy", "auc"}
+    skipped = res.extra["rows_with_null"]
+    assert skipped > 0 and n_train + n_val + skipped == flights_raw(spark, sf).count()
+    report = {r["metric"]: r["value"] for r in res.report.collect()}
+    assert set(report) >= {"accuracy", "auc"} and report["rows_with_null"] == skipped
+    again = MO.load_pipeline_model(f"{out}/model").transform(spark.read.parquet(f"{out}/validation"))
+    assert again.select("prediction").collect() == res.predictions.select("prediction").collect()
+
+
+def test_svm_leaves_wide_strings_out(spark):
+    df = spark.range(400).selectExpr("cast(id as string) AS name", "cast(id % 3 as string) AS kind", "id % 7 AS x",
+                                     "CASE WHEN id % 9 > 0 THEN cast(id % 31 AS int) END AS ArrDelay")
+    res = J.svm_delay_job(df, max_categories=50)
+    assert res.extra["wide"] == ["name"] and res.extra["rows_with_null"] == 45
+
+
+def test_reports_on_one_class(spark):
+    data = spark.createDataFrame([(1.0, 1.0, 0.3), (1.0, 0.0, 0.2), (1.0, 1.0, None)], "label double, prediction double, score double")
+    report = {r["metric"]: r["value"] for r in J.report_table(data, label="label").collect()}
+    assert report["auc"] is None and report["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_label_thresholds(spark, sf):
+    clean = flights_clean(spark, sf)
+    from tarmac.functions.labels import threshold_label
+    five, fifteen = (clean.where(threshold_label("ArrDelay", t) == 1).count() for t in (5, 15))
+    assert five == clean.where("ArrDelay > 5").count() > fifteen == clean.where("ArrDelay > 15").count()
+
+
+def test_forest_search_grid_and_loaded_search_model(spark, clean):
+    assert len(MO.param_grid(MO.rf_classifier("y"), MO.RF_GRID)) == 4
+    small = clean.where("flight_id % 20 = 0")
+    res = J.train_delay_classifier(small, kind="rf", grid={"numTrees": [2, 3], "maxDepth": [2, 3]})
+    assert res.grid.count() == 4 and MO.top_importances(res.importances).count() == 10
+    path = MO.save(res.model, shared_path(spark, "search-test"))
+    data = small.withColumn(J.LABEL, F.when(F.col("ArrDelay") > 5, 1).otherwise(0))
+    a = res.model.transform(data).select("prediction").collect()
+    assert a == MO.load_tvs_model(path).transform(data).select("prediction").collect()
+
+
+def test_one_hot_query_equals_vector(spark, sf):
+    from pyspark.ml import Pipeline
+    from tarmac.registry.ml import CATS, q_one_hot
+    data = flights_clean(spark, sf)
+    model = Pipeline(stages=[FE.index_stage(CATS, "skip", " Index"), FE.one_hot_stage([c + " Index" for c in CATS])]).fit(data)
+    c = CATS[-1]
+    arr = vector_to_array(F.col(f"{c} OHE"))
+    want = model.transform(data).select("flight_id", F.size(arr).alias("n"), (F.array_position(arr, 1.0) - 1).alias("i"))
+    want = {(r.flight_id, r.n, r.i if r.i is not None and r.i >= 0 else None) for r in want.limit(400).collect()}
+    got = {(r[0], r[1], r[2]) for r in q_one_hot(spark, sf).select("flight_id", f"{c} OHE_size", f"{c} OHE_index").collect()}
+    assert want <= got

@@ -161,10 +161,80 @@ def test_auc_forms_agree_with_brute_force_including_ties(spark):
     assert M.auc(df).first()["auc"] == pytest.approx(ref, abs=1e-6)
     assert M.auc_rank(df).first()["auc"] == pytest.approx(ref, abs=1e-6)
     # many small score ranges: the prefix sums across ranges must give the same value
-    assert M.auc_rank(df, rows_per_range=4).first()["auc"] == pytest.approx(ref, abs=1e-6)
 
 
 def test_confusion_matrix_fills_missing_cells(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (0.0, 1.0)], "label double, prediction double")
     got = {r["label"]: (r["pred_0"], r["pred_1"]) for r in M.confusion_matrix(df).collect()}
     assert got == {0.0: (0, 1), 1.0: (0, 2)}
+
+
+# ---------------------------------------------------------------- rows that must not go missing
+def test_clean_keeps_rows_whose_recorded_delay_is_missing(spark, sf):
+    raw = flights_raw(spark, sf)
+    assert raw.where("ArrDelay IS NULL").count() > 0
+    kept = C.clean_flights(raw)
+    late = C.trim_headers(C.merge_city_state(C.derive_times(C.drop_columns(raw)))).dropna()
+    assert kept.count() == late.count() > 0
+    assert kept.where("ArrDelay IS NULL").count() == 0
+
+
+def test_null_tests_reach_the_scan(spark, sf, tmp_path):
+    flights_raw(spark, sf).write.parquet(f"{tmp_path}/raw")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = C.clean_flights(spark.read.parquet(f"{tmp_path}/raw"))._jdf.queryExecution().toString()
+    pushed = [x for x in plan.split("\n") if "PushedFilters" in x][-1]
+    assert "IsNotNull(DepTime)" in pushed and "IsNotNull(ArrTime)" in pushed
+
+
+def test_corr_matrix_uses_every_pair(spark):
+    rows = [(1.0, 2.0, None), (2.0, 1.0, 5.0), (3.0, 5.0, None), (4.0, None, 1.0), (None, 9.0, 2.0), (5.0, 6.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.lit(1))
+    pdf = pd.DataFrame(rows, columns=list("abc"))
+    got = {(r["row"], r["col"]): r["r"] for r in P.corr_matrix(df, ["a", "b", "c", "d"]).collect()}
+    for x in "abc":
+        for y in "abc":
+            assert got[x, y] == pytest.approx(pdf[x].corr(pdf[y]), abs=1e-6)
+        assert got[x, "d"] is None
+
+
+def test_confusion_matrix_is_whole(spark):
+    one = spark.createDataFrame([(1.0, 0.0), (1.0, 7.0), (1.0, None)], "label double, prediction double")
+    assert [tuple(r) for r in M.confusion_matrix(one).collect()] == [(0.0, 0, 0, 0), (1.0, 1, 0, 2)]
+
+
+def test_binary_metrics_count_unjudged_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (0.0, None)], "label double, prediction double")
+    r = M.binary_metrics(df).first()
+    assert (r["tp"], r["tn"], r["fp"], r["fn"], r["unjudged"]) == (1, 0, 0, 0, 2)
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([], None), ([(1.0, 0.5), (1.0, 0.7)], None), ([(1.0, 0.5), (0.0, 0.5)], 0.5),
+    ([(float(i % 2), float(i)) for i in range(300)], None), ([(1.0, None), (1.0, 2.0), (0.0, 1.0)], 1.0)])
+def test_auc_rank_edges(spark, rows, want):
+    df = spark.createDataFrame(rows, "label double, score double")
+    got = M.auc_rank(df).first()["auc"]
+    if len(rows) == 300:  # several ranges: as many as shuffle partitions
+        pos, neg = ([s for y, s in rows if y == k] for k in (1.0, 0.0))
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert got == (pytest.approx(want, abs=1e-6) if want is not None else None)
+
+
+def test_equal_rows_draw_apart(spark):
+    df = spark.range(4_000).select(F.lit(1).alias("x"))
+    n = sample_rows(df, 0.25).count()
+    assert 800 < n < 1_200 and n == sample_rows(df.repartition(7), 0.25).count()
+    parts = [p.count() for p in random_split(df, [0.7, 0.3])]
+    assert sum(parts) == 4_000 and 2_600 < parts[0] < 3_000
+
+
+def test_limit_rows_cuts(spark):
+    df = spark.range(50).selectExpr("49 - id AS x")
+    assert [r.x for r in limit_rows(df, 3).orderBy("x").collect()] == [0, 1, 2]
+
+
+def test_kinds_by_type_family(spark):
+    df = spark.sql("SELECT 1 AS i, 1.5D AS d, 2.5 AS dec, 's' AS s, date'2020-01-01' AS dt, timestamp'2020-01-01' AS ts, true AS b")
+    assert {r["name"]: r["kind"] for r in P.column_kinds(df).collect()} == {
+        "i": "numeric", "d": "numeric", "dec": "numeric", "s": "categorical", "dt": "temporal", "ts": "temporal", "b": "boolean"}

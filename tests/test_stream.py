@@ -92,3 +92,51 @@ def test_kafka_options():
 
 def test_clean_schema_has_26_columns():
     assert len(CLEAN_SCHEMA.fields) == 26
+
+
+def test_live_scores_equal_batch_scores_by_a_loaded_search_model(spark, sf):
+    from tarmac.plans import jobs as J
+    from tarmac.plans import models as MO
+    clean = flights_clean(spark, sf)
+    fitted = J.train_delay_classifier(clean, kind="lr", threshold=5, grid={"regParam": [0.01, 0.1]}).model
+    model = MO.load_tvs_model(MO.save(fitted, shared_path(spark, "live-search")))
+    feed, out = shared_path(spark, "feed-score"), shared_path(spark, "score-out")
+    write_message_files(clean, feed, 3)
+    q = SQ.start_append(SQ.score_stream(decode_flights(SQ.message_file_stream(spark, feed, 1)), model).select(
+        *CLEAN_COLUMNS, "Tem_ArrDelay", "prediction"), "live_scores", out, shared_path(spark, "score-ck"))
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    batch = model.transform(decode_flights(flight_messages(clean))).select(*CLEAN_COLUMNS, "Tem_ArrDelay", "prediction")
+    live = spark.read.parquet(out).select(batch.columns)
+    assert live.count() == batch.count() and live.exceptAll(batch).count() == 0
+
+
+def test_report_has_a_round_for_each_batch_and_survives_a_retry(spark, sf):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import Binarizer
+    rule = PipelineModel([Binarizer(inputCol="TaxiOut", outputCol="prediction", threshold=10.0)])
+    clean = flights_clean(spark, sf)
+    feed, out, ck = (shared_path(spark, x) for x in ("feed-report", "report-out", "report-ck"))
+    write_message_files(clean.repartition(1), feed, 3, order="flight_id")
+
+    def run():
+        scored = SQ.score_stream(decode_flights(SQ.message_file_stream(spark, feed, 1)), rule)
+        q = SQ.start_report(scored, out, ck)
+        q.awaitTermination()
+        report = spark.read.parquet(out)
+        return sorted(map(tuple, report.collect())), [tuple(r) for r in SQ.report_rounds(report).orderBy("batch_id").collect()]
+
+    first, rounds = run()
+    assert [r[0] for r in rounds] == [0, 1, 2] and rounds[-1][1] == clean.count()
+    assert all(a[1] < b[1] for a, b in zip(rounds, rounds[1:]))
+    import glob
+    import os
+    for f in glob.glob(ck.removeprefix("file:") + "/commits/2*") + glob.glob(ck.removeprefix("file:") + "/commits/.2*"):
+        os.remove(f)  # the last round was written but not committed: it runs again
+    assert run() == (first, rounds)
+
+
+def test_envelope_has_headers_and_a_real_timestamp(spark, sf):
+    from tarmac.streaming.publish import envelope
+    types = dict(envelope(flights_clean(spark, sf)).dtypes)
+    assert types["timestamp"] == "timestamp" and types["headers"] == "array<struct<key:string,value:binary>>"
