@@ -140,9 +140,10 @@ def judge(documents: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS,
 
 def clean_documents(documents: DataFrame, **limits) -> DataFrame:
     """The documents kept, without the lines over their host's limit; all columns of ``documents``."""
+    gone = next(n for n in map("removed_{}".format, range(len(documents.columns) + 1)) if n not in documents.columns)
     verdict = judge(documents, **limits).where("kept").select(
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("host").alias("_h"),
-        F.col("removed").alias("_removed")).dropDuplicates(["_d", "_t", "_h"])
+        F.col("removed").alias(gone)).dropDuplicates(["_d", "_t", "_h"])
     host = limits.get("host_col", "source")
     both = documents.join(verdict, documents["doc_id"].eqNullSafe(verdict["_d"])
                           & (F.xxhash64(documents["text"]) == verdict["_t"])
@@ -158,7 +159,7 @@ def clean_documents(documents: DataFrame, **limits) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=schema.names)
 
-    return both.select(*[documents[c] for c in documents.columns], verdict["_removed"]).mapInArrow(cut, schema)
+    return both.select(*[documents[c] for c in documents.columns], gone).mapInArrow(cut, schema)
 
 
 def _without_lines(text: str, gone: set[int]) -> str:

@@ -100,7 +100,7 @@ def test_token_counts_equal_the_library(spark, head):
 @pytest.mark.parametrize("chunk", [7, 100, 16_384])
 def test_sentencepiece_equals_the_library(spark, chunk):
     texts = [t if t is None or chunk > 7 else t[:400] for t in [*ODD, "thethethe" * 30, "  two  blanks\n\nlines \n", "--------" * 40]]
-    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(11, "x y z " * 30, "s")] * 2
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(50, "x y z " * 30, "s")] * 2 + [(None, "x", "s")]
     model = sentencepiece_scan.Model(sentencepiece_scan.model_path())
     got = sentencepiece_scan.encode(frame(spark, rows), chunk=chunk).collect()
     want = Counter((i, tuple(model.sp.encode(t)) if t is not None else None) for i, t, _ in rows)
