@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarmac.schema import CLEAN_COLUMNS, CLEAN_SCHEMA
+from tarmac.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, STREAM_HIDDEN_COLUMNS
 from tarmac.session import shared_path
 from tarmac.sources.fixtures import flights_clean
 from tarmac.sources.kafka import kafka_source_options
@@ -102,11 +102,12 @@ def test_live_scores_equal_batch_scores_by_a_loaded_search_model(spark, sf):
     model = MO.load_tvs_model(MO.save(fitted, shared_path(spark, "live-search")))
     feed, out = shared_path(spark, "feed-score"), shared_path(spark, "score-out")
     write_message_files(clean, feed, 3)
-    q = SQ.start_append(SQ.score_stream(decode_flights(SQ.message_file_stream(spark, feed, 1)), model).select(
-        *CLEAN_COLUMNS, "Tem_ArrDelay", "prediction"), "live_scores", out, shared_path(spark, "score-ck"))
+    shown = [c for c in CLEAN_COLUMNS if c not in STREAM_HIDDEN_COLUMNS] + ["ArrDelay", "Tem_ArrDelay", "prediction"]
+    q = SQ.start_append(SQ.score_stream(decode_flights(SQ.message_file_stream(spark, feed, 1)), model).select(*shown),
+                        "live_scores", out, shared_path(spark, "score-ck"))
     q.awaitTermination()
     assert len(q.recentProgress) >= 3
-    batch = model.transform(decode_flights(flight_messages(clean))).select(*CLEAN_COLUMNS, "Tem_ArrDelay", "prediction")
+    batch = model.transform(decode_flights(flight_messages(clean))).select(*shown)
     live = spark.read.parquet(out).select(batch.columns)
     assert live.count() == batch.count() and live.exceptAll(batch).count() == 0
 
