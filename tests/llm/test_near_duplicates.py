@@ -151,6 +151,21 @@ def test_line_dedup_against_brute_force(spark):
     assert all((64, 0) in got for _ in [0])
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_unrelated_groups_under_one_key(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    phrase, lines = " ".join(words(rng, 34)), []
+    for _ in range(80):  # one phrase, 80 groups of copies: similar, but no group is a copy of another
+        own = words(rng, 7)
+        lines += [f"{phrase} {' '.join(own)}", f"{phrase} {' '.join([*own[:-1], words(rng, 1)[0]])}"]
+    rng.shuffle(lines)
+    group = brute_components(dict(enumerate(map(line_set, lines))), lambda a, b: 7 * len(a & b) >= 3 * (len(a) + len(b)))
+    assert len(set(group.values())) == 80
+    got = {r.doc_id for r in line_dedup.report(frame(spark, list(enumerate(lines)))).collect() if r.n_removed}
+    assert got == {k for k in group if group[k] != k}
+
+
 def test_deduplicated_texts(spark):
     long = "This line is long enough to count as evidence"
     rows = [(2, f"{long}\nshort\nAnother line that is found in one document only"), (1, f"{long}\nshort"),
