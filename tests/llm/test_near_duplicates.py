@@ -166,6 +166,19 @@ def test_unrelated_groups_under_one_key(spark, monkeypatch, block):
     assert got == {k for k in group if group[k] != k}
 
 
+def test_one_edit_in_a_short_line_or_without_blanks(spark):
+    rng = random.Random(6)
+    short = words(rng, 12)
+    solid = "".join(words(rng, 20))
+    rows = [(1, " ".join(short)), (2, " ".join([*short[:6], "other", *short[7:]])), (3, solid), (4, f"{solid[:9]}x{solid[9:]}"),
+            (5, " ".join(words(rng, 12)))]
+    plain = lambda x: {x[i:i + 5] for i in range(len(x) - 4)}
+    for a, b in ((0, 1), (2, 3)):
+        x, y = plain(rows[a][1]), plain(rows[b][1])
+        assert 7 * len(x & y) >= 3 * (len(x) + len(y))
+    assert {r.doc_id for r in line_dedup.report(frame(spark, rows)).collect() if r.n_removed} == {2, 4}
+
+
 def test_deduplicated_texts(spark):
     long = "This line is long enough to count as evidence"
     rows = [(2, f"{long}\nshort\nAnother line that is found in one document only"), (1, f"{long}\nshort"),
