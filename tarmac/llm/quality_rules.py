@@ -8,12 +8,13 @@ hold it. One copy stays: in the host's smallest doc_id that holds the line. A do
 depleted, and rejected, when lines were taken out of it and the words left are fewer than
 ``min_words`` or than ``keep_share`` of its words.
 
-Lines are hashed once per document, so a (host, line) count is combined before the shuffle and
-a line that a third of the rows share reaches the reducer as one row per map task. The lines
+Lines are hashed once per document. Each (host, document, line) is dealt by all three and counted
+once, so a line that a third of the rows share is spread over the tasks, and its (host, line) count
+is combined before the next shuffle. The lines
 over the limit go back to the documents through a join on (host, hash) that holds no text.
 
 Null text: no words, base_failed. Null source: a host of its own. Rows that repeat a doc_id are
-judged as rows; each counts as a document of its host. Extra columns are ignored; an empty table
+judged as rows, but count as one document of their host (so do rows without a doc_id). Extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -99,8 +100,8 @@ def document_stats(documents: DataFrame, host_col: str = "source") -> DataFrame:
 
 def frequent_lines(stats: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """``host, hash, docs, first_doc`` of lines over their host's limit."""
-    hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = (stats.select("host", "doc_id", F.explode("hashes").alias("hash"))
+    hosts = stats.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = (stats.select("host", "doc_id", F.explode("hashes").alias("hash")).distinct()
              .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
              .where(F.col("docs") > min_docs))
     over = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > share * F.col("host_docs"))

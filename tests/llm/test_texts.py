@@ -47,6 +47,15 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_one_document_of_their_host(spark):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    banner = fresh(20)
+    rows = [(1, f"{fresh(40)}\n{banner}", "a")] * 12 + [(2, f"{fresh(40)}\n{banner}", "a")] + [(i, fresh(40), "a") for i in range(3, 8)]
+    got = quality_rules.judge(frame(spark, rows)).collect()
+    assert len(got) == 18 and all(r.kept and r.removed_words == 0 for r in got)
+
+
 def brute_contamination(text, items):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     w, hit, found = low(text), set(), set()
