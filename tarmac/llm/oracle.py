@@ -96,3 +96,38 @@ hit AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0)
 ORACLE["op9_decontaminate"] = f"""
 WITH docs AS (SELECT doc_id, text FROM documents), {CONTAMINATION}
 SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM hit"""
+
+#: the CTEs behind op11: crc32 byte by byte, near words by what is left of them without one character
+ORACLE["op11_spelling_variants"] = f"""
+WITH RECURSIVE rounds(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+       SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM rounds WHERE k < 8),
+t AS (SELECT i, c AS v FROM rounds WHERE k = 8),
+occ AS (SELECT doc_id, run, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+        WHERE length(run) >= 6 GROUP BY ALL),
+crc(doc_id, run, n, x, pos, c) AS (
+  SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), 0, CAST(4294967295 AS BIGINT) FROM occ
+  UNION ALL SELECT doc_id, run, n, x, pos + 1, xor(c >> 8, v) FROM crc
+  JOIN t ON t.i = xor(c & 255, CAST(('0x' || substr(x, 2 * pos + 1, 2)) AS BIGINT)) WHERE 2 * pos < length(x)),
+hashed AS (SELECT run, n, xor(c, 4294967295) AS h, length(run) AS len FROM crc WHERE 2 * pos = length(x)),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % len) || substr(run, h % len + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+edits AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN words b ON a.rest = b.word
+          UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+near AS (SELECT a, b FROM edits UNION SELECT b, a FROM edits),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-w.n, encode(b))) AS form, max(w.n) AS form_n
+         FROM near JOIN words w ON w.word = b GROUP BY a),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+          CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best ON a = word),
+path(word, root) AS (SELECT word, word FROM named UNION ALL
+                     SELECT path.word, form FROM path JOIN named ON named.word = root WHERE form IS NOT NULL)
+SELECT named.word, form, root, n, n_near, form_n FROM named JOIN path ON path.word = named.word
+WHERE root IN (SELECT word FROM named WHERE form IS NULL)"""
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+same AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM rows JOIN same USING (t)"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (chat_format, decontaminate, language_id, line_dedup, ngram_join, quality_rules, sentencepiece_scan,
-                        token_counts, toxicity, url_filter)
+from tarmac.llm import (chat_format, cuckoo_dedup, decontaminate, language_id, line_dedup, ngram_join, quality_rules,
+                        sentencepiece_scan, spelling_variants, token_alignment, token_counts, toxicity, url_filter)
 from tarmac.llm.common import read
 from tarmac.llm.oracle import ORACLE  # noqa: F401  (the driver's statements, by query name)
 
@@ -80,3 +80,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo_dedup.duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
