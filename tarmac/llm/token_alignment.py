@@ -4,11 +4,12 @@ Two tokenizers cut the same bytes (a blank and the text): byte-level BPE (A) and
 byte fallback (B). Offsets where tokens of both end are shared cuts; between two neighbouring
 shared cuts lies a group. Two tokens of a group are linked when their byte ranges overlap.
 
-1. *Division.* Before a blank or a line end that follows no white space neither tokenizer's token goes
-   on: A's pattern takes no blank into a token but at its beginning, and B's vocabulary, which is
-   checked, has no piece with a blank or line end behind another character. These shared cuts are
-   known before encoding and divide a text into units; a text of one unit is a unit. Equal units
-   have equal alignments, so a task encodes and aligns each unit once (a bounded memory).
+1. *Division.* Before a blank or a line end that follows no white space, and between a letter and one of
+   the signs ``SIGNS``, neither tokenizer's token goes on: A's pattern takes no blank into a token but at
+   its beginning and parts letters from signs, and B's vocabulary, which is checked, has no piece with
+   a blank or line end behind another character or a sign behind a letter. These shared cuts are
+   known before encoding and divide a text into units. Equal units have equal alignments, so a task
+   remembers them (two bounded generations; what is met again stays).
 2. *Conquest.* Within a unit a common end is looked for by bisecting B's ends for A's ends, from the
    middle of the interval outwards; both halves follow, until an interval has no cut: a group.
 3. *Corpus counts.* Each document's links are kept as (pair of ids, frequency); one grouped sum counts pairs
@@ -26,6 +27,7 @@ texts are aligned whole. Extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from bisect import bisect_left
@@ -43,13 +45,16 @@ from tarmac.llm.common import stored
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 BLANK = "▁"
-MEMORY = 150_000  # units that a task remembers
+MEMORY = 300_000  # units in a generation that a task remembers
 BATCH = 512  # texts in an output batch
 HEAD = 1 << 17
 SHIFT = 32  # a pair of ids as a number: A's above, B's below
 
-#: units: white space and what follows up to the next blank or line end behind other characters
-UNITS = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+SIGNS = '.,;:!?)("|'
+#: units: white space and a word before a sign, blank or line end; or whatever stands up to the next
+#: blank or line end behind other characters
+UNITS = re.compile(rf"\s+[{LETTERS}]+(?=[{SIGNS} \n]|\Z)|(?:\s+\S*|\S+)(?:[^\S \n]\s*\S*)*")
 
 
 def path_of(name: str) -> str:
@@ -61,16 +66,23 @@ def path_of(name: str) -> str:
 
 def shared_cut(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> tuple[int, int] | None:
     """Positions in ``a`` and ``b`` of a common end strictly inside the interval, near its middle."""
-    middle = (lo_a + hi_a) // 2
-    for distance in range(hi_a - lo_a):
-        for i in {middle - distance, middle + distance}:
-            if lo_a <= i < hi_a - 1:
-                j = bisect_left(b, a[i], lo_b, hi_b - 1)
-                if j < hi_b - 1 and b[j] == a[i]:
-                    return i, j
+    middle, last_b = (lo_a + hi_a - 1) // 2, hi_b - 1
+    for i in chain(range(middle, hi_a - 1), range(middle - 1, lo_a - 1, -1)) if hi_a - lo_a < 8 else _outwards(middle, lo_a, hi_a - 1):
+        j = bisect_left(b, a[i], lo_b, last_b)
+        if j < last_b and b[j] == a[i]:
+            return i, j
     return None
 
 
+def _outwards(middle: int, low: int, end: int) -> Iterator[int]:
+    """The numbers from ``low`` up to ``end``, nearest to the middle first."""
+    for distance in range(end - low):
+        if middle + distance < end:
+            yield middle + distance
+        if distance and middle - distance >= low:
+            yield middle - distance
+
+
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """Token ranges (from and to in ``a``, from and to in ``b``) between neighbouring shared cuts, in order.
     ``a`` and ``b`` are the tokens' rising ends, and end together."""
@@ -86,14 +98,18 @@ def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def overlaps(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
+def overlaps(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
     """Positions of the tokens of a group whose ranges overlap."""
     i, hi_a, j, hi_b = group
+    if hi_a - i == 1 or hi_b - j == 1:
+        return [(x, y) for x in range(i, hi_a) for y in range(j, hi_b)]
+    found = []
     while i < hi_a and j < hi_b:
-        yield i, j
+        found.append((i, j))
         end_a, end_b = a[i], b[j]
         i += end_a <= end_b
         j += end_b <= end_a
+    return found
 
 
 # ---- the tokenizers ----
@@ -125,45 +141,82 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode()
                         for i, p in ((i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()))]
         pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-        if any(re.search(f"[^{BLANK}]{BLANK}|.\n|\n.", p) for p in pieces):
-            raise ValueError("a piece goes on over the beginning of a word or a line end")
+        if any(re.search(f"[^{BLANK}]{BLANK}|.\n|\n.|[{LETTERS}][{SIGNS}]", p) for p in pieces):
+            raise ValueError("a piece goes on over the beginning of a word, a line end, or a sign")
+
+        ranks = self._ranks()
+        self.quick = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+            self.quick = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ranks(self) -> dict[bytes, int] | None:
+        """A's entries as ranks, where its file is plain byte-level BPE whose merges are in the order of
+        their ids: then the encoder for ranks gives the same ids at a third of the time."""
+        file = json.loads(self.a.to_str())
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        if (model["type"], before.get("type"), before.get("use_regex"), file["normalizer"]) != ("BPE", "ByteLevel", True, None):
+            return None
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if before.get("add_prefix_space") or any(model["vocab"][m] != 256 + k for k, m in enumerate(merges)):
+            return None
+        added = {x["id"] for x in file["added_tokens"]}
+        return {self.bytes_a[i]: i for i in model["vocab"].values() if i not in added}
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.quick:
+            return list(map(self.quick.encode_ordinary, texts))
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         return [x.ids for x in encode(texts, add_special_tokens=False)]
 
     def encode_b(self, unit: str) -> list[int]:
-        """Ids of a unit as it stands: B adds a blank before a text, which is the unit's first or goes again."""
-        if unit == " ":  # an empty text would get no blank
-            return self.b.encode("\n ")[2:]
-        return self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]
+        """Ids of a unit as it stands. B adds a blank before a text, which is the unit's first; a line end put
+        before other units keeps them apart from it, and both go again."""
+        if unit[0] == " " and len(unit) > 1:
+            return self.b.encode(unit[1:])
+        return self.b.encode("\n" + unit)[2:]
 
 
-class Aligned(dict):
+class Aligned:
     """Alignments by unit: (A ids, B ids, groups, written groups, linked pairs), or None where bytes differ."""
 
     def __init__(self, tokenizers: Tokenizers, most: int = MEMORY):
-        super().__init__()
         self.tokenizers, self.most = tokenizers, most
-
-    def learn(self, units: set[str]) -> None:
-        """Align the units that are not known yet."""
-        if len(self) > self.most:
-            self.clear()
-        new = [u for u in units if u not in self]
+        self.now: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
+        self.links: dict[int, int] = {}
+        self.text_a = list(map(str, range(len(tokenizers.bytes_a))))
+        self.text_b = list(map(str, range(len(tokenizers.bytes_b))))
+
+    def of(self, units: list[str]) -> list[tuple | None]:
+        """The units' alignments; those that are not known are made."""
+        if len(self.now) > self.most:
+            self.now, self.before, self.links = {}, self.now, {}
+        now, before = self.now, self.before
+        missing = [u for u in set(units) if u not in now]
+        new = []
+        for u in missing:
+            if u in before:
+                now[u] = before[u]
+            else:
+                new.append(u)
         if new:
             for unit, ids in zip(new, self.tokenizers.encode_a(new)):
-                self[unit] = self._align(unit, ids, self.tokenizers.encode_b(unit))
+                now[unit] = self._align(unit, ids, self.tokenizers.encode_b(unit))
+        return list(map(now.__getitem__, units))
 
     def _align(self, unit: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        out_a, out_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        a, b, data = [out_a[i] for i in ids_a], [out_b[i] for i in ids_b], unit.encode()
+        a, b = list(map(self.tokenizers.bytes_a.__getitem__, ids_a)), list(map(self.tokenizers.bytes_b.__getitem__, ids_b))
+        data = unit.encode()
         if b"".join(a) != data or b"".join(b) != data:
             return None
         ends_a, ends_b = list(accumulate(map(len, a))), list(accumulate(map(len, b)))
         found = groups(ends_a, ends_b)
-        text = ";".join(",".join(map(str, ids_a[g[0]:g[1]])) + "|" + ",".join(map(str, ids_b[g[2]:g[3]])) for g in found)
-        links = tuple(ids_a[i] << SHIFT | ids_b[j] for g in found for i, j in overlaps(ends_a, ends_b, g))
+        text_a, text_b = list(map(self.text_a.__getitem__, ids_a)), list(map(self.text_b.__getitem__, ids_b))
+        text = ";".join([",".join(text_a[g[0]:g[1]]) + "|" + ",".join(text_b[g[2]:g[3]]) for g in found])
+        same = self.links  # one object for each pair, as most units share theirs with others
+        links = [same.setdefault(x := ids_a[i] << SHIFT | ids_b[j], x) for g in found for i, j in overlaps(ends_a, ends_b, g)]
         return len(ids_a), len(ids_b), len(found), text, links
 
 
@@ -197,17 +250,13 @@ def aligned_documents(documents: DataFrame, path_a: str, path_b: str) -> DataFra
         known = Aligned(load(path_a, path_b))
 
         def of(text: str | None) -> tuple:
-            units = units_of(text or "")
-            freq = Counter(units)
-            known.learn(freq.keys())
-            parts = list(map(known.__getitem__, units))
+            parts = known.of(units_of(text or ""))
             if not parts or None in parts:
                 return 0, 0, 0, 0, "", [], []
-            links = Counter()
-            links.update(chain.from_iterable(p[4] for p in parts))
-            digest = hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest()
-            return (sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts),
-                    links.total(), digest, list(links), list(links.values()))
+            n_a, n_b, n_groups, written, linked = zip(*parts)
+            links = Counter(chain.from_iterable(linked))
+            digest = hashlib.sha256(";".join(written).encode()).hexdigest()
+            return sum(n_a), sum(n_b), sum(n_groups), links.total(), digest, list(links), list(links.values())
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
