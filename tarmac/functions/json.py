@@ -43,9 +43,13 @@ def string_fields_schema(names: list[str]) -> T.StructType:
 
 
 def typed_from_string(c: Column, dtype: T.DataType) -> Column:
-    """Lenient cast of payload text: integers accept '905.0', whole ones keep every digit; bad text gives NULL."""
+    """Lenient cast of payload text: integers accept '905.0', whole ones keep every digit; bad text gives NULL.
+
+    Integers are read as decimals, which hold both forms: a direct cast of '905.0' would throw and
+    catch an exception for each value.
+    """
     if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.coalesce(c.try_cast(dtype), c.try_cast("double").try_cast(dtype))
+        return c.try_cast("decimal(38,18)").try_cast(dtype)
     if isinstance(dtype, T.StringType):
         return c
     return c.try_cast(dtype)

@@ -21,6 +21,7 @@ from tarmac.operators.profile import columns_of_kind, group_avg, group_profile,
 from tarmac.operators.sampling import random_split, sample_rows
 from tarmac.plans import features as FE
 from tarmac.plans import models as MO
+from tarmac.plans.search import grid_search
 from tarmac.session import stored
 from tarmac.schema import (CATEGORICAL_FEATURES, CLASSIFIER_NUMERIC_FEATURES, CLUSTER_INDEXED_FEATURES,
                            CLUSTER_NUMERIC_FEATURES, DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM,
@@ -76,31 +77,37 @@ def positive_score(col: str = "probability") -> F.Column:
 
 def train_delay_classifier(clean: DataFrame, kind: str = "rf", threshold: float = DELAY_THRESHOLD_STREAM,
                            grid: dict | None = None, train_ratio: float = MO.TRAIN_RATIO,
-                           parallelism: int = 1, seed: int = 42) -> TrainResult:
+                           parallelism: int = 2, seed: int = 42, keys: list[str] | None = None) -> TrainResult:
     """Label, index, assemble, grid-search (train/validation split), refit the best, score, report.
 
+    ``kind``: "rf" (forest), "lr" (logistic regression) or "line" (``models.delay_line_stages``). ``keys``
+    are the columns that the split is drawn from (default: all).
+
     As in the reference analysis the scored set is the whole input (training rows
     included); pass held-out rows to :func:`report_table` for an unbiased figure.
     """
     spark = clean.sparkSession
     data = stored(clean.withColumn(LABEL, threshold_label("ArrDelay", threshold)), "labelled")
-    if kind == "rf":
-        FE.fitted_index(data, CATEGORICAL_FEATURES, MO.RF_MAX_BINS)  # fails early; the search fits its own
-        est = MO.rf_classifier(LABEL, seed=seed)
-        grid = MO.RF_GRID if grid is None else grid
-    elif kind == "lr":
-        est = MO.logistic_regression(LABEL)
-        grid = MO.LR_GRID if grid is None else grid
+    columns = ["features"]
+    if kind == "line":
+        prepare, (line, cut) = MO.delay_line_stages(threshold)
+        est, columns = Pipeline(stages=[line, cut]), ["ArrDelay", "late_vector"]
+        maps = MO.param_grid(cut, MO.LINE_GRID if grid is None else grid)
+    elif kind in ("rf", "lr"):
+        prepare = [FE.fitted_index(data, CATEGORICAL_FEATURES, MO.RF_MAX_BINS if kind == "rf" else None),
+                   FE.assemble_stage(classifier_features())]
+        est = MO.rf_classifier(LABEL, seed=seed) if kind == "rf" else MO.logistic_regression(LABEL)
+        maps = MO.param_grid(est, grid if grid is not None else MO.RF_GRID if kind == "rf" else MO.LR_GRID)
     else:
         raise ValueError(f"unknown classifier {kind}")
-    tvs = MO.tune(classifier_pipeline(est), est, grid, LABEL, train_ratio, parallelism, seed)
-    model = tvs.fit(data)
-    pred = model.transform(data).withColumn("score", positive_score())
+    found = grid_search(data, prepare, est, maps, LABEL, columns, train_ratio, seed, keys, parallelism)
+    model = found.model
+    pred = model.transform(data).withColumn("score", F.col("expected") if kind == "line" else positive_score())
     best = model.bestModel.stages[-1]
     importances = (MO.importance_table(spark, classifier_features(), best.featureImportances)
                    if hasattr(best, "featureImportances") else None)
     report = report_table(pred)
-    return TrainResult(model, pred, report, MO.grid_table(spark, model), importances)
+    return TrainResult(model, pred, report, found.grid, importances)
 
 
 def svm_delay_job(flights: DataFrame, threshold: float = DELAY_THRESHOLD_CHARTS, seed: int = 42,

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Binarizer, SQLTransformer, VectorAssembler
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplitModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ LR_GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
 SVC_MAX_ITER, SVC_REG = 10, 0.1
 SVC_MAX_CATEGORIES = 1_000  # values of a string column that is still one-hot encoded
 TRAIN_RATIO = 0.8
+#: expected minutes late from which a flight is called delayed, searched
+LINE_GRID = {"threshold": [0.3, 2.6, 5.2, 7.9, 10.4]}
 
 
 def kmeans(k: int = KMEANS_K, seed: int = KMEANS_SEED, features: str = "features",
@@ -39,7 +42,8 @@ def rf_regressor(label: str, num_trees: int = RELEVANCE_TREES, seed: int = RELEV
 
 def rf_classifier(label: str, max_bins: int = RF_MAX_BINS, seed: int | None = 42,
                   features: str = "features", **params) -> RandomForestClassifier:
-    rf = RandomForestClassifier(labelCol=label, featuresCol=features, maxBins=max_bins, **params)
+    # the node of each row is remembered and written every few levels, so a deep tree is not walked again
+    rf = RandomForestClassifier(labelCol=label, featuresCol=features, maxBins=max_bins, cacheNodeIds=True, **params)
     if seed is not None:
         rf.setSeed(seed)
     return rf
@@ -54,6 +58,19 @@ def linear_svc(label: str, max_iter: int = SVC_MAX_ITER, reg: float = SVC_REG,
     return LinearSVC(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol=features)
 
 
+def delay_line_stages(threshold: float = 5.0, label: str = "ArrDelay") -> tuple[list, list]:
+    """A delay classifier in closed form: the arrival delay as a line through the minutes a flight left late
+    (least squares by the normal equations), and the class as ``expected > threshold``.
+
+    Returned as the stages that only rewrite rows and those that are fitted. It reads clocks that are
+    known live, learns two coefficients from one pass, and comes out the same from every file layout.
+    """
+    late = SQLTransformer(statement="SELECT *, CAST(DepTime - CRSDepTime AS double) AS late FROM __THIS__")
+    return ([late, VectorAssembler(inputCols=["late"], outputCol="late_vector", handleInvalid="keep")],
+            [LinearRegression(featuresCol="late_vector", labelCol=label, predictionCol="expected", solver="normal"),
+             Binarizer(inputCol="expected", outputCol="prediction", threshold=threshold)])
+
+
 def param_grid(estimator, grid: dict[str, list]) -> list:
     b = ParamGridBuilder()
     for name, values in grid.items():
@@ -65,14 +82,6 @@ def accuracy_evaluator(label: str, metric: str = "accuracy") -> MulticlassClassi
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
 
 
-def tune(pipeline: Pipeline, estimator, grid: dict[str, list], label: str, train_ratio: float = TRAIN_RATIO,
-         parallelism: int = 1, seed: int = 42) -> TrainValidationSplit:
-    """Grid search with one random train/validation split, best by accuracy, refit on all rows."""
-    return TrainValidationSplit(estimator=pipeline, estimatorParamMaps=param_grid(estimator, grid),
-                                evaluator=accuracy_evaluator(label), trainRatio=train_ratio,
-                                parallelism=parallelism, seed=seed)
-
-
 def grid_table(spark: SparkSession, tvs_model: TrainValidationSplitModel) -> DataFrame:
     """(params, metric, best) for every grid point of a fitted search."""
     maps = tvs_model.getEstimatorParamMaps()

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Binarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tarmac.functions.labels import threshold_label
-from tarmac.operators.sampling import random_split, sample_rows
+from tarmac.operators.sampling import sample_rows, with_split
 from tarmac.plans import features as FE
 from tarmac.plans import jobs as J
 from tarmac.plans import models as MO
@@ -116,6 +115,14 @@ def q_standard_scale(spark, sf):
     return model.transform(clean).select("flight_id", FE.vector_column("features", 6).alias("features"))
 
 
+# ---------------------------------------------------------------- draws
+SPLIT_KEYS = ["flight_id", "Flight_Number_Operating_Airline", "CRSDepTime", "DepTime", "Year", "Month"]
+_DRAW_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in SPLIT_KEYS + [c for c in CLEAN_COLUMN_NAMES if c not in SPLIT_KEYS])
+_DRAWN = ("SELECT *, ('0x' || substr(md5(concat_ws('|', " + ", ".join(f"cast({c} AS varchar)" for c in SPLIT_KEYS)
+          + f", cast(row_number() OVER (PARTITION BY {', '.join(SPLIT_KEYS)} ORDER BY {_DRAW_ORDER}) AS varchar), '42')), 1, 8))"
+          "::bigint / 4294967296.0 AS draw FROM flights_clean")
+
+
 # ---------------------------------------------------------------- models (rows-only checks)
 def _scored(pred, label=J.LABEL):
     return pred.select("flight_id", F.col(label).alias("label"), "prediction",
@@ -165,7 +172,7 @@ def q_rf_relevance_arr(spark, sf):
 
 def _forest(spark, sf) -> J.TrainResult:
     """The full 2 x 2 forest search, label ArrDelay > 5."""
-    return _once(spark, sf, "forest", lambda clean: J.train_delay_classifier(clean, kind="rf"))
+    return _once(spark, sf, "forest", lambda clean: J.train_delay_classifier(clean, kind="rf", keys=SPLIT_KEYS))
 
 
 @register("rf_classifier")
@@ -186,7 +193,7 @@ def q_importance_ranking(spark, sf):
 def _logistic(spark, sf) -> J.TrainResult:
     """The 2 x 3 logistic-regression search with a label of its own, ArrDelay > 15."""
     return _once(spark, sf, "logistic", lambda clean: J.train_delay_classifier(
-        clean, kind="lr", threshold=DELAY_THRESHOLD_CHARTS))
+        clean, kind="lr", threshold=DELAY_THRESHOLD_CHARTS, keys=SPLIT_KEYS))
 
 
 @register("logistic_regression")
@@ -208,9 +215,6 @@ def _svm_input(spark, sf):
     return derive_times(drop_columns(flights_raw(spark, sf)))
 
 
-SPLIT_KEYS = ["flight_id", "Flight_Number_Operating_Airline", "CRSDepTime", "DepTime", "Year", "Month"]
-
-
 def _svm(spark, sf) -> J.TrainResult:
     return _once(spark, sf, "svm", lambda _: J.svm_delay_job(
         _svm_input(spark, sf), output=shared_path(spark, "svm"), keys=SPLIT_KEYS))
@@ -227,24 +231,34 @@ def q_svm_report(spark, sf):
 
 
 # ---------------------------------------------------------------- saved pipelines and models
-# a rule in place of a fit, so that SQL can repeat what a saved and loaded pipeline scores; the real
-# models go the same way in the tests
-TAXI_RULE = 10.0
-_RULE_SQL = with_views(
-    f"SELECT flight_id, CASE WHEN ArrDelay > {DELAY_THRESHOLD_STREAM} THEN 1 ELSE 0 END AS label, "
-    f"CASE WHEN TaxiOut > {TAXI_RULE} THEN 1.0 ELSE 0.0 END :: double AS prediction FROM flights_clean", "flights_clean")
+# the delay line (models.delay_line_stages) is fitted in closed form, so SQL repeats what it learns: the
+# threshold by its accuracy on the validating rows, and both coefficients from all rows
+_LABEL_SQL = f"CASE WHEN ArrDelay > {DELAY_THRESHOLD_STREAM} THEN 1 ELSE 0 END"
+_LINE = "regr_intercept(ArrDelay, late) AS a, regr_slope(ArrDelay, late) AS b"
+LINE_VIEWS = [
+    ("drawn", _DRAWN),
+    ("timed", f"SELECT *, DepTime - CRSDepTime AS late, {_LABEL_SQL} AS Tem_ArrDelay FROM drawn"),
+    ("tried", f"SELECT unnest({MO.LINE_GRID['threshold']}) :: double AS threshold"),
+    ("trained", f"SELECT {_LINE} FROM timed WHERE draw < {MO.TRAIN_RATIO}"),
+    ("searched", "SELECT threshold, avg(CASE WHEN (a + b * late > threshold) = (Tem_ArrDelay = 1) THEN 1.0 ELSE 0.0 END) AS metric, "
+     f"count(*) AS validation_rows FROM timed, trained, tried WHERE draw >= {MO.TRAIN_RATIO} GROUP BY threshold"),
+    ("chosen", "SELECT threshold FROM searched ORDER BY metric DESC, threshold LIMIT 1"),
+    ("line", f"SELECT {_LINE} FROM timed"),
+    ("scored", "SELECT timed.*, CASE WHEN a + b * late > chosen.threshold THEN 1.0 ELSE 0.0 END :: double AS prediction "
+     "FROM timed, line, chosen")]
 
 
-def rule_pipeline() -> Pipeline:
-    return Pipeline(stages=[Binarizer(inputCol="TaxiOut", outputCol="prediction", threshold=TAXI_RULE)])
+def line_sql(select: str) -> str:
+    return with_views(select, "flights_clean", LINE_VIEWS)
 
 
-def rule_search(spark, sf):
-    """The rule as a saved and loaded search model: one grid point, chosen by a train/validation split."""
-    data = _labelled(spark, sf)
-    pipeline = rule_pipeline()
-    search = MO.tune(pipeline, pipeline.getStages()[0], {"threshold": [TAXI_RULE]}, J.LABEL)
-    return MO.load_tvs_model(MO.save(search.fit(data), shared_path(spark, "search")))
+def _line(spark, sf) -> J.TrainResult:
+    return _once(spark, sf, "line", lambda clean: J.train_delay_classifier(clean, kind="line", keys=SPLIT_KEYS))
+
+
+def line_search(spark, sf):
+    """The searched delay line, saved and loaded."""
+    return MO.load_tvs_model(MO.save(_line(spark, sf).model, shared_path(spark, "search")))
 
 
 def _labelled(spark, sf):
@@ -255,32 +269,42 @@ def _ruled(pred):
     return pred.select("flight_id", F.col(J.LABEL).alias("label"), "prediction")
 
 
-@register("batch_score", _RULE_SQL)
+@register("line_search", line_sql(
+    f"SELECT 'threshold=' || threshold AS params, metric, threshold = (SELECT threshold FROM chosen) AS best, "
+    f"(SELECT count(*) FROM timed WHERE draw < {MO.TRAIN_RATIO}) AS train_rows, validation_rows FROM searched"))
+def q_line_search(spark, sf):
+    return _line(spark, sf).grid
+
+
+@register("batch_score", line_sql("SELECT flight_id, Tem_ArrDelay AS label, prediction FROM scored"))
 def q_batch_score(spark, sf):
-    return _ruled(rule_search(spark, sf).transform(_labelled(spark, sf)))
+    return _ruled(line_search(spark, sf).transform(_labelled(spark, sf)))
+
+
+_DEFAULT_LINE = line_sql(f"SELECT flight_id, Tem_ArrDelay AS label, CASE WHEN a + b * late > {DELAY_THRESHOLD_STREAM} THEN 1.0 "
+                         "ELSE 0.0 END :: double AS prediction FROM timed, line")
+
+
+def line_pipeline() -> Pipeline:
+    before, after = MO.delay_line_stages(DELAY_THRESHOLD_STREAM)
+    return Pipeline(stages=[*before, *after])
 
 
-@register("pipeline_save_load", _RULE_SQL)
+@register("pipeline_save_load", _DEFAULT_LINE)
 def q_pipeline_save_load(spark, sf):
     data = _labelled(spark, sf)
-    path = MO.save(rule_pipeline(), shared_path(spark, "pipeline"))
+    path = MO.save(line_pipeline(), shared_path(spark, "pipeline"))
     return _ruled(Pipeline.load(path).fit(data).transform(data))
 
 
-@register("model_save_load", _RULE_SQL)
+@register("model_save_load", _DEFAULT_LINE)
 def q_model_save_load(spark, sf):
     data = _labelled(spark, sf)
-    path = MO.save(rule_pipeline().fit(data), shared_path(spark, "model"))
+    path = MO.save(line_pipeline().fit(data), shared_path(spark, "model"))
     return _ruled(MO.load_pipeline_model(path).transform(data))
 
 
 # ---------------------------------------------------------------- sampling
-_DRAW_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in SPLIT_KEYS + [c for c in CLEAN_COLUMN_NAMES if c not in SPLIT_KEYS])
-_DRAWN = ("SELECT *, ('0x' || substr(md5(concat_ws('|', " + ", ".join(f"cast({c} AS varchar)" for c in SPLIT_KEYS)
-          + f", cast(row_number() OVER (PARTITION BY {', '.join(SPLIT_KEYS)} ORDER BY {_DRAW_ORDER}) AS varchar), '42')), 1, 8))"
-          "::bigint / 4294967296.0 AS draw FROM flights_clean")
-
-
 @register("sample_rows", with_views("SELECT * EXCLUDE (draw) FROM drawn WHERE draw < 0.05", "flights_clean",
                                     [("drawn", _DRAWN)]))
 def q_sample_rows(spark, sf):
@@ -290,8 +314,4 @@ def q_sample_rows(spark, sf):
 @register("random_split", with_views("SELECT * EXCLUDE (draw), CASE WHEN draw < 0.7 THEN 0 ELSE 1 END AS split FROM drawn",
                                      "flights_clean", [("drawn", _DRAWN)]))
 def q_random_split(spark, sf):
-    parts = random_split(flights_clean(spark, sf), [0.7, 0.3], 42, SPLIT_KEYS)
-    out = parts[0].withColumn("split", F.lit(0))
-    for i, p in enumerate(parts[1:], start=1):
-        out = out.unionByName(p.withColumn("split", F.lit(i)))
-    return out
+    return with_split(flights_clean(spark, sf), [0.7, 0.3], 42, SPLIT_KEYS)

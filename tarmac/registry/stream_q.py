@@ -16,14 +16,15 @@ from pyspark.sql import types as T
 from tarmac.operators.profile import last_rows
 from tarmac.registry import register
 from tarmac.registry.batch import _PAYLOAD_DUCK, _STRUCT_DUCK
-from tarmac.registry.ml import TAXI_RULE, rule_search
+from tarmac.registry.ml import line_search, line_sql
 from tarmac.registry.sql import with_views
-from tarmac.schema import CLEAN_COLUMNS, DELAY_THRESHOLD_STREAM
+from tarmac.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, DELAY_THRESHOLD_STREAM
 from tarmac.session import shared_path
 from tarmac.sources import catalog as CA
 from tarmac.sources.fixtures import flights_clean, read_table
 from tarmac.sources.kafka import envelope_view
 from tarmac.streaming import queries as SQ
+from tarmac.streaming import rounds as RO
 from tarmac.streaming.decode import decode_flights, decode_paths
 from tarmac.streaming.publish import envelope, write_message_files
 
@@ -118,23 +119,15 @@ def q_stream_delays_by_weekday(spark, sf):
     return _run_complete(spark, SQ.delays_by_weekday(stream), "byday")
 
 
-_SCORED_SQL = (f"SELECT *, {_LABEL_SQL} AS Tem_ArrDelay, CASE WHEN TaxiOut > {TAXI_RULE} THEN 1.0 ELSE 0.0 END :: double "
-               "AS prediction FROM flights_clean")
-
-
-def _with_scored(select: str) -> str:
-    return with_views(select, "flights_clean", [("scored", _SCORED_SQL)])
-
-
-@register("stream_score", _with_scored(
+@register("stream_score", line_sql(
     f"SELECT {', '.join(CLEAN_COLUMNS[:4])}, ArrDelay, Tem_ArrDelay, prediction FROM scored"))
 def q_stream_score(spark, sf):
     # live rows scored by a search model that was saved and loaded
-    scored = SQ.score_stream(decode_flights(_stream(spark, _feed(spark, sf))), rule_search(spark, sf))
+    scored = SQ.score_stream(decode_flights(_stream(spark, _feed(spark, sf))), line_search(spark, sf))
     return _run_append(spark, scored.select(*CLEAN_COLUMNS[:4], "ArrDelay", "Tem_ArrDelay", "prediction"), "score")
 
 
-@register("prediction_vs_truth", _with_scored(
+@register("prediction_vs_truth", line_sql(
     "SELECT flight_id AS offset, prediction, ArrDelay, Tem_ArrDelay FROM scored "
     "ORDER BY flight_id DESC, ArrDelay DESC, Tem_ArrDelay DESC, prediction DESC LIMIT 10"))
 def q_prediction_vs_truth(spark, sf):
@@ -144,12 +137,12 @@ def q_prediction_vs_truth(spark, sf):
     records.write.parquet(path)
     files = len(spark.read.parquet(path).inputFiles())
     stream = (spark.readStream.schema(records.schema).option("maxFilesPerTrigger", str(max(1, files // ROUNDS))).parquet(path))
-    scored = SQ.score_stream(decode_flights(stream, keep=["partition", "offset"]), rule_search(spark, sf))
+    scored = SQ.score_stream(decode_flights(stream, keep=["partition", "offset"]), line_search(spark, sf))
     sink = _run_append(spark, scored.select("offset", "prediction", "ArrDelay", "Tem_ArrDelay"), "pvt")
     return last_rows(sink, 10, ["offset", "ArrDelay", "Tem_ArrDelay", "prediction"])
 
 
-@register("stream_report", _with_scored(
+@register("stream_report", line_sql(
     f"SELECT cast(flight_id % {ROUNDS} AS int) AS batch, DayOfWeek, count(*) AS rows, count(*) FILTER (WHERE Tem_ArrDelay = 1) AS delayed, "
     "count(*) FILTER (WHERE prediction = 1.0) AS predicted_delayed, "
     "count(*) FILTER (WHERE (Tem_ArrDelay = 1) = (prediction = 1.0)) AS correct FROM scored GROUP BY 1, 2"))
@@ -157,13 +150,57 @@ def q_stream_report(spark, sf):
     # one table per micro-batch and message folder; a folder's files may come in several micro-batches
     stream = decode_flights(_stream(spark, _feed(spark, sf)), keep=["batch"])
     out = shared_path(spark, "report")
-    q = SQ.start_report(SQ.score_stream(stream, rule_search(spark, sf)), out, shared_path(spark, "report-ckpt"),
+    q = SQ.start_report(SQ.score_stream(stream, line_search(spark, sf)), out, shared_path(spark, "report-ckpt"),
                         _name("report"), by=["batch"])
     q.awaitTermination()
     sums = [F.sum(c).alias(c) for c in ("rows", "delayed", "predicted_delayed", "correct")]
     return spark.read.parquet(out).groupBy("batch", "DayOfWeek").agg(*sums)
 
 
+_MARKS = ("SELECT flight_id % {0} AS round, 'count' AS kind, 'all' AS key, Tem_ArrDelay AS y, prediction AS p FROM scored UNION ALL "
+          "SELECT flight_id % {0}, 'label', cast(Tem_ArrDelay AS varchar), Tem_ArrDelay, prediction FROM scored UNION ALL "
+          "SELECT flight_id % {0}, 'weekday', cast(DayOfWeek AS varchar), Tem_ArrDelay, prediction FROM scored").format(ROUNDS)
+_KEYS = ", ".join(f"('{k}', '{v}')" for k, v in RO.KEYS)
+
+
+@register("stream_rounds", line_sql(f"""
+SELECT r.round, k.kind, k.key, count(m.round) AS rows, count(*) FILTER (WHERE y = 1) AS delayed,
+       count(*) FILTER (WHERE p = 1.0) AS predicted_delayed, count(*) FILTER (WHERE (y = 1) = (p = 1.0)) AS correct
+FROM range({ROUNDS}) r(round) CROSS JOIN (VALUES {_KEYS}) k(kind, key)
+LEFT JOIN ({_MARKS}) m ON m.round <= r.round AND m.kind = k.kind AND m.key = k.key GROUP BY ALL"""))
+def q_stream_rounds(spark, sf):
+    # each round is published, then read by the query, which is started again from its checkpoint
+    clean, model = flights_clean(spark, sf), line_search(spark, sf)
+    feed, out, checkpoint = (shared_path(spark, x) for x in ("rounds-feed", "rounds", "rounds-ckpt"))
+    for i in range(ROUNDS):
+        write_message_files(clean.where(F.col("flight_id") % ROUNDS == i), f"{feed}/{i}")
+        scored = SQ.score_stream(decode_flights(SQ.message_file_stream(spark, f"{feed}/*/*")), model)
+        RO.start_rounds(scored, out, checkpoint, _name("rounds")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_delay_job", line_sql("""
+SELECT 'count' AS tbl, 'all' AS key, count(*) AS n FROM scored UNION ALL
+SELECT 'distribution', cast(Tem_ArrDelay AS varchar), count(*) FROM scored GROUP BY ALL UNION ALL
+SELECT 'weekdays', cast(DayOfWeek AS varchar), count(*) FROM scored WHERE Tem_ArrDelay = 1 GROUP BY ALL UNION ALL
+SELECT 'scores', cast(flight_id AS varchar), cast(prediction AS bigint) FROM scored UNION ALL
+SELECT 'rows', cast(flight_id AS varchar), cast(Distance AS bigint) FROM scored"""))
+def q_stream_delay_job(spark, sf):
+    feed, out = shared_path(spark, "job-feed"), shared_path(spark, "job")
+    clean = flights_clean(spark, sf)
+    write_message_files(clean, feed, batches=ROUNDS, order="flight_id")
+    # the payload has the 26 columns of the record; its id comes with it in this feed
+    schema = T.StructType([T.StructField("flight_id", T.LongType()), *CLEAN_SCHEMA.fields])
+    scored = SQ.score_stream(decode_flights(_stream(spark, feed), schema=schema), line_search(spark, sf))
+    shown = ["flight_id", "DayOfWeek", "Distance", "ArrDelay", "Tem_ArrDelay", "prediction"]
+    RO.start_delay_job(scored.select(*shown), out, shared_path(spark, "job-ckpt"), _name("job")).awaitTermination()
+    table = lambda t, key, n: RO.job_table(spark, out, t).select(
+        F.lit(t).alias("tbl"), key.cast("string").alias("key"), F.col(n).cast("bigint").alias("n"))
+    return (table("count", F.lit("all"), "n").unionByName(table("distribution", F.col("Tem_ArrDelay"), "n"))
+            .unionByName(table("weekdays", F.col("DayOfWeek"), "n")).unionByName(table("scores", F.col("flight_id"), "prediction"))
+            .unionByName(table("rows", F.col("flight_id"), "Distance")))
+
+
 # ---------------------------------------------------------------- envelope / catalog
 _ENVELOPE_TS = "strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(flight_id), '%Y-%m-%d %H:%M:%S')"
 

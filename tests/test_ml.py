@@ -99,7 +99,8 @@ def test_label_thresholds(spark, sf):
 
 def test_forest_search_grid_and_loaded_search_model(spark, clean):
     assert len(MO.param_grid(MO.rf_classifier("y"), MO.RF_GRID)) == 4
-    small = clean.where("flight_id % 20 = 0")
+    small = clean.where("flight_id % 19 = 0")
+    assert small.where("ArrDelay > 5").count() > 20 < small.where("ArrDelay <= 5").count()
     res = J.train_delay_classifier(small, kind="rf", grid={"numTrees": [2, 3], "maxDepth": [2, 3]})
     assert res.grid.count() == 4 and MO.top_importances(res.importances).count() == 10
     path = MO.save(res.model, shared_path(spark, "search-test"))
