@@ -28,7 +28,7 @@ WINDOW = 13
 SHINGLE = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COUNT_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 250_000  # windows of at most 13 words, or shingles
 
 
 def words_of(text: Column) -> Column:
@@ -86,12 +86,20 @@ def occurrences(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``doc_id, text_hash, start, w, item_id`` of every occurrence of a window in a document."""
     parts = []
     for (size,) in prefixes.select("size").distinct().collect():
-        side = broadcast_if_small(prefixes.where(F.col("size") == size).drop("size"), MAX_BROADCAST)
+        side = prefixes.where(F.col("size") == size).drop("size")
         start = F.col("pos") - F.col("offset")
-        found = _positions(documents, size).join(side, "shingle").where(
-            (start >= 0) & (start + F.col("w") <= F.size("words")))
-        parts.append(found.where(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("w")) == F.col("win"))
-                     .select("doc_id", "text_hash", start.alias("start"), "w", "item_id"))
+        rows = _positions(documents, size)
+        if side.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # compared where the document is
+            found = rows.join(F.broadcast(side), "shingle").where((start >= 0) & (start + F.col("w") <= F.size("words")))
+            found = found.withColumn("start", start)
+        else:  # numbers go to the windows, and words only to the places left
+            places = rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), "pos", "shingle")
+            places = places.join(side, "shingle").where((start >= 0) & (start + F.col("w") <= F.col("n_words")))
+            places = stored(places.select("doc_id", "text_hash", start.alias("start"), "w", "win", "item_id").distinct(), "places")
+            texts = documents.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), words_of(F.col("text")).alias("words"))
+            found = places.join(texts, places["doc_id"].eqNullSafe(texts["_d"]) & (places["text_hash"] == texts["_t"]))
+        parts.append(found.where(F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("w")) == F.col("win"))
+                     .select("doc_id", "text_hash", "start", "w", "item_id"))
     if not parts:
         return documents.sparkSession.createDataFrame(
             [], "doc_id bigint, text_hash bigint, start int, w int, item_id string")

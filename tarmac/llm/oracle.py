@@ -16,10 +16,7 @@ lines AS (SELECT doc_id, source, line, {WORDS.format(LOWER.format('line'))} AS l
           FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM w)),
 full_lines AS (SELECT doc_id, source, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM lines WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
-host AS (SELECT source, count(*) AS host_docs FROM docs GROUP BY source),
-freq AS (SELECT l.source, l.norm, min(doc_id) AS first_doc FROM full_lines l JOIN host h ON l.source IS NOT DISTINCT FROM h.source
-         GROUP BY l.source, l.norm, host_docs
-         HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.2 * host_docs),
+freq AS (SELECT source, norm, min(doc_id) AS first_doc FROM full_lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > 5),
 lost AS (SELECT doc_id, sum(n) AS n FROM full_lines l JOIN freq f
          ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm AND l.doc_id <> f.first_doc GROUP BY doc_id),
 figures AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,

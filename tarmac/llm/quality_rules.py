@@ -3,8 +3,8 @@
 Base rules look at one text: too few words, or too many words inside repeated 5-word windows.
 The cross-document rule hashes every normalised line (trimmed, A-Z lower-cased, runs of blanks
 as one), counts the distinct documents of each host that hold it, and takes a line out of a
-document when more than ``share`` of its host's documents, and more than ``min_docs`` of them,
-hold it. One copy stays: in the host's smallest doc_id that holds the line. A document is
+document when more than ``min_docs`` of its host's documents hold it (and, if a ``share`` is given, more
+than that share of them). One copy stays: in the host's smallest doc_id that holds the line. A document is
 depleted, and rejected, when lines were taken out of it and the words left are fewer than
 ``min_words`` or than ``keep_share`` of its words.
 
@@ -36,8 +36,8 @@ MAX_REPEATED = 20  # percent
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 
-SHARE = 0.2
-MIN_DOCS = 10
+SHARE = 0.0
+MIN_DOCS = 5
 KEEP_SHARE = 0.3
 
 STATS = ("doc_id bigint, host string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
@@ -100,10 +100,12 @@ def document_stats(documents: DataFrame, host_col: str = "source") -> DataFrame:
 
 def frequent_lines(stats: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """``host, hash, docs, first_doc`` of lines over their host's limit."""
-    hosts = stats.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = (stats.select("host", "doc_id", F.explode("hashes").alias("hash")).distinct()
              .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
              .where(F.col("docs") > min_docs))
+    if not share:
+        return stored(lines.select("host", "hash", "docs", "first_doc"), "frequent-lines")
+    hosts = stats.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     over = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > share * F.col("host_docs"))
     return stored(over.select(lines["host"], "hash", "docs", "first_doc"), "frequent-lines")
 

@@ -47,6 +47,17 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
+def test_limit_is_a_number_of_distinct_documents(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    five, six = fresh(9), fresh(9)
+    rows = [(i, "\n".join([fresh(40), *[five] * (i < 5), *[six] * (i < 6)]), "a") for i in range(400)]
+    got = {r.doc_id: r.removed_words for r in quality_rules.judge(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(1, 6)) and set(got.values()) == {0, 9}
+    none = quality_rules.judge(frame(spark, rows), share=0.2).where("removed_words > 0").count()
+    assert none == 0  # as a share besides, the old limit
+
+
 def test_repeated_rows_are_one_document_of_their_host(spark):
     rng = random.Random(8)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -71,7 +82,9 @@ def brute_contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.MAX_BROADCAST, 0])
+def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", broadcast)
     rng = random.Random(9)
     fresh = lambda n: [rng.choice("the of and cat sat mat on Élan été rain sun sky blue red".split()) for _ in range(n)]
     items = [(i, " ".join(fresh(rng.choice([14, 20, 40])))) for i in range(10, 20)] + [
