@@ -99,7 +99,7 @@ def test_language_without_labels_or_pages(spark):
 
 def test_registered_queries():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join",
                                                       "benchmark decontamination", "SentencePiece"]
