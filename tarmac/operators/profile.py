@@ -12,7 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.session import broadcast_if_small, stored
+
 ROUND = 6
+#: distinct values of a group that one task may sort
+SORTED_VALUES = 100_000
+#: values at which a band that holds more is cut
+CUTS = 64
+#: rows (one a group and share) up to which bands and their cuts are broadcast
+CUT_ROWS = 20_000
 
 
 def _r(c: Column, digits: int | None = ROUND) -> Column:
@@ -66,31 +74,82 @@ def count_above_by(df: DataFrame, value: str, threshold: float, key: str,
             .agg(F.count(F.lit(1)).alias(name)).orderBy(key))
 
 
+def _band_rows(hist: DataFrame, bands: DataFrame, key: str, value: str) -> DataFrame:
+    """Histogram rows inside the bands of their group, once a band."""
+    rows = hist.withColumnsRenamed({key: "_g", value: "_v"}).join(bands, "_g")
+    return rows.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _narrowed(hist: DataFrame, bands: DataFrame, key: str, value: str) -> DataFrame:
+    """Bands cut at ``CUTS`` sketched values, as low as the two ranks allow: rows are counted exactly
+    between the cuts, and the pieces that hold the ranks make the new band."""
+    inside = _band_rows(hist, bands, key, value)
+    shares = F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)])
+    cuts = stored(inside.groupBy("_g", "_p").agg(F.percentile_approx("_v", shares, F.lit(100 * CUTS)).alias("_cuts")), "cuts")
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    pieces = (inside.join(broadcast_if_small(cuts, CUT_ROWS), ["_g", "_p"])
+              .groupBy("_g", "_p", "_below", "_low", "_high", piece.alias("_piece"))
+              .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    before = F.col("_below") + F.sum("_n").over(Window.partitionBy("_g", "_p").orderBy("_piece")) - F.col("_n")
+    holds = (F.col("_low") < F.col("_start") + F.col("_n")) & (F.col("_high") >= F.col("_start"))
+    return stored(pieces.withColumn("_start", before).where(holds).groupBy("_g", "_p", "_low", "_high")
+                  .agg(F.min("_start").alias("_below"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")), "bands")
+
+
+def quantiles_by(hist: DataFrame, key: str, value: str, shares: list[float], most: int = SORTED_VALUES) -> DataFrame:
+    """Exact linear quantiles of a weighted histogram ``(key, value, _n)``, as ``(key, _share, _quantile)``.
+
+    Selection by ranks: each group and share has a band of values that holds its two neighbouring ranks.
+    As long as a band holds more than ``most`` distinct values, it is cut at sketched values, counted
+    exactly and narrowed; then its values are ranked. So no task sorts more than ``most`` distinct
+    values of a group and share, however many the group has.
+    """
+    ends = hist.groupBy(F.col(key).alias("_g")).agg(F.sum("_n").alias("_all"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = (F.col("_all") - 1) * F.element_at(F.array(*map(F.lit, shares)), F.col("_p") + 1)
+    bands = stored(ends.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))))
+                   .select("_g", "_p", F.lit(0).cast("long").alias("_below"), F.floor(at).alias("_low"),
+                           F.ceil(at).alias("_high"), "_lo", "_hi", at.alias("_at")), "bands")
+    targets = bands.select("_g", "_p", "_at")
+    bands = bands.drop("_at")
+    while True:
+        side = broadcast_if_small(bands, CUT_ROWS)
+        wide = (_band_rows(hist, side, key, value).groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_values"))
+                .agg(F.max("_values")).first()[0])
+        if (wide or 0) <= most:
+            break
+        bands = _narrowed(hist, side, key, value)
+    done = F.col("_below") + F.sum("_n").over(Window.partitionBy("_g", "_p").orderBy("_v"))
+    ranked = (_band_rows(hist, side, key, value).withColumn("_end", done).groupBy("_g", "_p")
+              .agg(F.min(F.when(F.col("_end") > F.col("_low"), F.col("_v"))).alias("_v0"),
+                   F.min(F.when(F.col("_end") > F.col("_high"), F.col("_v"))).alias("_v1")))
+    part = F.col("_at") - F.floor("_at")
+    return ranked.join(targets, ["_g", "_p"]).select(
+        F.col("_g").alias(key), F.element_at(F.array(*map(F.lit, shares)), F.col("_p") + 1).alias("_share"),
+        (F.col("_v0") * (1 - part) + F.col("_v1") * part).alias("_quantile"))
+
+
 def box_summary(df: DataFrame, key: str, value: str, whis: float = 1.5,
-                digits: int | None = ROUND) -> DataFrame:
+                digits: int | None = ROUND, most: int = SORTED_VALUES) -> DataFrame:
     """Box-plot numbers per group: exact linear quartiles, fences, whiskers, outliers.
 
-    First a histogram ``(key, value) -> n`` (partial aggregation; the number of
-    distinct values bounds its size, not the number of rows; meant for values such as
-    whole minutes, as one task holds a group's distinct values), then exact
-    percentiles weighted by ``n`` and one join of the histogram with the per-group
-    quartiles for the whiskers.
+    First a histogram ``(key, value) -> n`` (partial aggregation), written once; then exact quartiles
+    weighted by ``n`` (:func:`quantiles_by`: rank selection, no task holds a group's distinct values) and
+    one join of the histogram with the per-group quartiles for the whiskers. Rows whose key is NULL
+    belong to no group.
     """
-    hist = (df.filter(F.col(value).isNotNull()).groupBy(key, value)
-            .agg(F.count(F.lit(1)).alias("_n")))
-    quart = hist.groupBy(key).agg(
-        F.percentile(F.col(value), [0.25, 0.5, 0.75], F.col("_n")).alias("_q"),
-        F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
-    quart = quart.select(
-        key, "n", "min", "max",
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    quart = quart.withColumns({
+    hist = stored(df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(key, value)
+                  .agg(F.count(F.lit(1)).alias("_n")), "histogram")
+    shares = [0.25, 0.5, 0.75]
+    found = quantiles_by(hist, key, value, shares, most).groupBy(key).agg(
+        *[F.max(F.when(F.col("_share") == s, F.col("_quantile"))).alias(q) for s, q in zip(shares, ("q1", "median", "q3"))])
+    quart = hist.groupBy(key).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")).join(found, key)
+    quart = stored(quart.withColumns({
         "iqr": F.col("q3") - F.col("q1"),
         "lower_fence": F.col("q1") - whis * (F.col("q3") - F.col("q1")),
         "upper_fence": F.col("q3") + whis * (F.col("q3") - F.col("q1")),
-    })
+    }), "quartiles")
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
-    whiskers = (hist.join(quart.select(key, "lower_fence", "upper_fence"), key)
+    whiskers = (hist.join(broadcast_if_small(quart.select(key, "lower_fence", "upper_fence"), CUT_ROWS), key)
                 .groupBy(key).agg(
                     F.min(F.when(inside, F.col(value))).alias("whisker_low"),
                     F.max(F.when(inside, F.col(value))).alias("whisker_high"),
@@ -112,52 +171,46 @@ def present_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in names if c in have]
 
 
-def _moment_rows(cols: list[str], shift: list[float]):
-    """mapInPandas body: per partition and pair of columns, over rows where both are there, the count,
-    the sums, the sums of squares and the cross-products of shifted values."""
-    import numpy as np
-    import pandas as pd
-
-    k = len(cols)
-
-    def run(batches):
-        sums = np.zeros((4, k, k))
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype="float64")
-            there = ~np.isnan(x)
-            x, there = np.where(there, x - np.asarray(shift), 0.0), there.astype("float64")
-            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
-        yield pd.DataFrame({"idx": np.arange(sums.size), "v": sums.ravel()})
-    return run
-
-
 def corr_matrix(df: DataFrame, cols: list[str], digits: int | None = ROUND) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` as long rows (row, col, r).
 
-    Two passes, both partitioned and partially aggregated: column means (they only shift the
-    values), then for each pair the moments of the rows where both columns are there (numpy over
-    Arrow batches), merged with ``groupBy(idx).sum()``. The driver receives 4 k^2 + k numbers,
-    never rows. Shifting by the mean keeps the co-moments exact enough for 6 decimals. A NULL
-    takes its row out of its own column's pairs only, as ``corr(a, b)`` does; a constant column
-    or a pair with fewer than two rows gives NULL.
+    A row becomes one vector: its standardised values (0 where NULL), their squares, and a mask of the
+    values that are there. The Gram matrix of these vectors, which Spark ML adds up in the JVM by partition and
+    as a tree, holds for each pair of columns the count, sums, squares and cross-products of the rows
+    where both are there. The columns are written once for the passes; the driver gets matrices of (3k)^2 numbers, never rows.
+    A NULL takes its row out of its own column's pairs only; a constant column or a pair with fewer than
+    two rows gives NULL.
     """
     import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation, Summarizer
 
     cols = present_columns(df, cols)
     k = len(cols)
-    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = num.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    shift = [float(means[c] or 0.0) for c in cols]
-    sums = (num.mapInPandas(_moment_rows(cols, shift), "idx int, v double")
-            .groupBy("idx").agg(F.sum("v").alias("v")).collect())
-    vec = np.zeros(4 * k * k)
-    for r in sums:
-        vec[r["idx"]] = r["v"]
-    n, s1, s2, cross = vec.reshape(4, k, k)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = s2 - s1 * s1 / n
-        r = (cross - s1 * s1.T / n) / np.sqrt(spread * spread.T)
-    r[n < 2] = np.nan
+    num = stored(df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]), "correlated")
+    facts = num.agg(F.count(F.lit(1)).alias("rows"), *[f(f"x{i}").alias(f"{f.__name__}{i}") for i in range(k)
+                                                       for f in (F.avg, F.stddev_pop, F.min, F.max)]).first()
+    r = np.full((k, k), np.nan)
+    if k and facts["rows"] > 1:
+        values, masks = [], []
+        for i in range(k):
+            low, flat = facts[f"min{i}"], facts[f"min{i}"] == facts[f"max{i}"]
+            shift, scale = (low, 1.0) if flat or low is None else (facts[f"avg{i}"], facts[f"stddev_pop{i}"])
+            values.append(F.coalesce((F.col(f"x{i}") - F.lit(shift)) / F.lit(scale), F.lit(0.0)))
+            masks.append(F.col(f"x{i}").isNotNull().cast("double"))
+        vectors = num.select(array_to_vector(F.array(*values, *[v * v for v in values], *masks)).alias("z"))
+        spread = Correlation.corr(vectors, "z").first()[0].toArray()
+        mean, std = (np.asarray(v) for v in vectors.select(Summarizer.metrics("mean", "std").summary(F.col("z")).alias("s"))
+                     .select("s.mean", "s.std").first())
+        rows = facts["rows"]
+        gram = np.nan_to_num(spread) * np.outer(std, std) * (rows - 1) + rows * np.outer(mean, mean)
+        x, square, there = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+        n, s1, s2, cross = np.rint(gram[there, there]), gram[x, there], gram[square, there], gram[x, x]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = s2 - s1 * s1 / n
+            own[own <= 1e-11 * s2] = np.nan  # constant where both are there
+            r = (cross - s1 * s1.T / n) / np.sqrt(own * own.T)
+        r[n < 2] = np.nan
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

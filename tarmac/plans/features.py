@@ -18,9 +18,11 @@ def index_stage(cols: list[str], handle_invalid: str = "keep", suffix: str = "_I
                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc")
 
 
-def one_hot_stage(index_cols: list[str], suffix: str = " OHE", drop_last: bool = True) -> OneHotEncoder:
+def one_hot_stage(index_cols: list[str], suffix: str = " OHE", drop_last: bool = True,
+                  handle_invalid: str = "error") -> OneHotEncoder:
     out = [c[: -len(" Index")] + suffix if c.endswith(" Index") else c + suffix for c in index_cols]
-    return OneHotEncoder(inputCols=list(index_cols), outputCols=out, dropLast=drop_last)
+    return OneHotEncoder(inputCols=list(index_cols), outputCols=out, dropLast=drop_last,
+                         handleInvalid=handle_invalid)
 
 
 def assemble_stage(cols: list[str], out: str = "features", handle_invalid: str = "error") -> VectorAssembler:

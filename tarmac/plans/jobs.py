@@ -19,10 +19,11 @@ from tarmac.operators import metrics as M
 from tarmac.operators.clean import dropna_any
 from tarmac.operators.profile import columns_of_kind, group_avg, group_profile, present_columns
 from tarmac.operators.sampling import random_split, sample_rows
+from tarmac.plans import encode as EN
 from tarmac.plans import features as FE
 from tarmac.plans import models as MO
 from tarmac.plans.search import grid_search
-from tarmac.session import stored
+from tarmac.session import shared_path, stored
 from tarmac.schema import (CATEGORICAL_FEATURES, CLASSIFIER_NUMERIC_FEATURES, CLUSTER_INDEXED_FEATURES,
                            CLUSTER_NUMERIC_FEATURES, DELAY_THRESHOLD_CHARTS, DELAY_THRESHOLD_STREAM,
                            RELEVANCE_NUMERIC_FEATURES, SVM_DROPPED_COLUMNS)
@@ -112,42 +113,41 @@ def train_delay_classifier(clean: DataFrame, kind: str = "rf", threshold: float
 
 def svm_delay_job(flights: DataFrame, threshold: float = DELAY_THRESHOLD_CHARTS, seed: int = 42,
                   max_iter: int = MO.SVC_MAX_ITER, reg: float = MO.SVC_REG, output: str | None = None,
-                  max_categories: int = MO.SVC_MAX_CATEGORIES, keys: list[str] | None = None) -> TrainResult:
+                  keys: list[str] | None = None) -> TrainResult:
     """Linear SVM on every usable column: strings one-hot encoded, numbers as they are.
 
-    Columns that give the label away and dates are left out, and so are strings of more than
-    ``max_categories`` values, whose names ``extra["wide"]`` gives. Rows with a NULL in a column
-    used, or without a label, cannot be assembled: they go first, and the report counts them as
-    ``rows_with_null``. 70/30 random split; with ``output`` both parts are written there as parquet, and
-    the unfitted pipeline and the fitted model are saved beside them.
+    Columns that give the label away and dates are left out. Strings of any number of values are
+    indexed by a dictionary table of the training part (``extra["values"]``) and become sparse vectors; a value that it
+    lacks has none of them. Rows with a NULL in a column used, or without a label, cannot be assembled: they go first,
+    and the report counts them as ``rows_with_null``. 70/30 random split. Both parts, with their indexes, are
+    written as parquet: below ``output`` if it is given, where the dictionary, the unfitted pipeline and the fitted
+    model are saved as well.
     """
     data = stored(flights.withColumn("Delay", F.when(F.col("ArrDelay").isNotNull(), threshold_label("ArrDelay", threshold)))
                   .drop(*SVM_DROPPED_COLUMNS), "svm-input")
     cat = columns_of_kind(data, "categorical")
-    sizes = data.agg(*[F.approx_count_distinct(c).alias(c) for c in cat]).first().asDict() if cat else {}
-    wide = [c for c in cat if sizes[c] > max_categories]
-    cat = [c for c in cat if c not in wide]
     num = [c for c in columns_of_kind(data, "numeric", "boolean") if c != "Delay"]
     usable = stored(dropna_any(data, [*cat, *num, "Delay"]), "svm-rows")
     skipped = data.count() - usable.count()
+    spark = flights.sparkSession
     train, val = random_split(usable, [0.7, 0.3], seed, keys)
-    if output:
-        train.write.mode("overwrite").parquet(f"{output}/train")
-        val.write.mode("overwrite").parquet(f"{output}/validation")
-        train, val = (usable.sparkSession.read.parquet(f"{output}/{part}") for part in ("train", "validation"))
-    index_cols = [c + " Index" for c in cat]
-    stages = [FE.index_stage(cat, "keep", " Index"), FE.one_hot_stage(index_cols),
+    values = EN.value_index(train, cat)
+    output_parts = output or shared_path(spark, "svm-parts")
+    for part, rows in (("train", train), ("validation", val)):
+        EN.indexed(rows, values, cat).write.mode("overwrite").parquet(f"{output_parts}/{part}")
+    train, val = (spark.read.parquet(f"{output_parts}/{part}") for part in ("train", "validation"))
+    stages = [FE.one_hot_stage([c + " Index" for c in cat], handle_invalid="keep"),
               FE.assemble_stage([c + " OHE" for c in cat] + num), MO.linear_svc("Delay", max_iter, reg)]
-    pipeline = Pipeline(stages=stages)
+    pipeline = Pipeline(stages=stages if cat else stages[1:])
     model = pipeline.fit(train)
     if output:
+        values.write.mode("overwrite").parquet(f"{output}/values")
         MO.save(pipeline, f"{output}/pipeline")
         MO.save(model, f"{output}/model")
     pred = model.transform(val).withColumn("score", positive_score("rawPrediction"))
-    spark = flights.sparkSession
     report = report_table(pred, label="Delay").unionByName(
         spark.createDataFrame([("rows_with_null", float(skipped))], "metric string, value double"))
-    return TrainResult(model, pred, report, extra={"pipeline": pipeline, "wide": wide, "rows_with_null": skipped})
+    return TrainResult(model, pred, report, extra={"pipeline": pipeline, "values": values, "rows_with_null": skipped})
 
 
 def cluster_pipeline(df: DataFrame, k: int = MO.KMEANS_K, seed: int = MO.KMEANS_SEED) -> Pipeline:

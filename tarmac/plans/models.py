@@ -23,7 +23,6 @@ RF_MAX_BINS = 512
 RF_GRID = {"numTrees": [20, 50], "maxDepth": [10, 15]}
 LR_GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
 SVC_MAX_ITER, SVC_REG = 10, 0.1
-SVC_MAX_CATEGORIES = 1_000  # values of a string column that is still one-hot encoded
 TRAIN_RATIO = 0.8
 #: expected minutes late from which a flight is called delayed, searched
 LINE_GRID = {"threshold": [0.3, 2.6, 5.2, 7.9, 10.4]}

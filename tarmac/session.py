@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "tarmac", shuffle_partitions: int = 8,
@@ -64,3 +65,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast when a *stored* side has at most ``rows`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

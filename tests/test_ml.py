@@ -77,11 +77,27 @@ def test_svm_job_runs_and_splits(spark, sf):
     assert again.select("prediction").collect() == res.predictions.select("prediction").collect()
 
 
-def test_svm_leaves_wide_strings_out(spark):
-    df = spark.range(400).selectExpr("cast(id as string) AS name", "cast(id % 3 as string) AS kind", "id % 7 AS x",
-                                     "CASE WHEN id % 9 > 0 THEN cast(id % 31 AS int) END AS ArrDelay")
-    res = J.svm_delay_job(df, max_categories=50)
-    assert res.extra["wide"] == ["name"] and res.extra["rows_with_null"] == 45
+def test_svm_keeps_strings_of_many_values(spark):
+    df = spark.range(9000).selectExpr("cast(id % 5000 as string) AS name", "cast(id % 3 as string) AS kind", "id % 7 AS x", "id AS row",
+                                      "CASE WHEN id % 9 > 0 THEN cast(id % 31 AS int) END AS ArrDelay")
+    res = J.svm_delay_job(df)
+    assert res.extra["rows_with_null"] == 1000
+    sizes = dict(zip(("name", "kind"), res.model.stages[0].categorySizes))
+    assert 3500 < sizes["name"] <= 5000 and sizes["kind"] == 3
+    assert res.model.stages[-1].numFeatures == sizes["name"] + 3 + 2
+    unseen = res.predictions.where(F.col("name Index") == sizes["name"])
+    assert 0 < unseen.count() < res.predictions.count()
+
+
+def test_dictionary_equals_string_indexer(spark, clean):
+    from tarmac.plans import encode as EN
+    cols = ["Origin", "OriginCityNameState"]
+    rows = clean.select("flight_id", *cols).unionByName(spark.createDataFrame([(-1, None, "nowhere")], "flight_id bigint, Origin string, OriginCityNameState string"))
+    old = FE.index_stage(cols, "keep", " want").fit(clean)
+    got = EN.indexed(old.transform(rows), EN.value_index(clean, cols), cols)
+    assert got.count() == rows.count()
+    assert got.where(" OR ".join(f"NOT `{c} want` <=> `{c} Index`" for c in cols)).isEmpty()
+    assert EN.indexed(rows, EN.value_index(clean.limit(0), cols), cols).where("`Origin Index` <> 0").isEmpty()
 
 
 def test_reports_on_one_class(spark):

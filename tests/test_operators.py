@@ -73,6 +73,31 @@ def test_box_summary_matches_pandas(spark):
         assert r["outliers"] == len(v) - len(inside) and r["n"] == len(v)
 
 
+def test_box_quartiles_by_rank_selection(spark):
+    # more distinct values than one task may sort, one value with a fifth of the rows, ties and a group of one row
+    v = F.when(F.col("id") % 5 == 0, F.lit(0.5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(100003)) / 7)
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), v.alias("v")).unionByName(
+        spark.createDataFrame([(9, 4.0), (9, None), (None, 1.0)], "g bigint, v double"))
+    got = {r["g"]: r for r in P.box_summary(df, "g", "v", most=50).collect()}
+    pdf = df.dropna().toPandas()
+    assert set(got) == {0, 1, 2, 9}
+    for g, part in pdf.groupby("g"):
+        want = np.percentile(part["v"], [25, 50, 75])
+        assert [got[g][q] for q in ("q1", "median", "q3")] == pytest.approx(list(want), abs=1e-5)
+        assert got[g]["n"] == len(part)
+    assert P.box_summary(df.limit(0), "g", "v").count() == 0
+
+
+def test_corr_matrix_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    for rows in (df, df.limit(0)):
+        assert [r["r"] for r in P.corr_matrix(rows, ["a", "b"]).collect()] == [None] * 4
+    large = spark.range(50).selectExpr("1e9 + id AS a", "1e9 - id * 3 AS b", "0.1D AS c", "CASE WHEN id % 2 = 0 THEN id * id END AS d")
+    got = {(r["row"], r["col"]): r["r"] for r in P.corr_matrix(large, ["a", "b", "c", "d"]).collect()}
+    want = large.select("a", "d").dropna().toPandas().astype(float).corr().iloc[0, 1]
+    assert got["a", "b"] == -1.0 and got["a", "c"] is None and got["a", "d"] == pytest.approx(want, abs=1e-6)
+
+
 def test_corr_matrix_matches_numpy(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=200)
