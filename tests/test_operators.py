@@ -263,3 +263,23 @@ def test_kinds_by_type_family(spark):
     df = spark.sql("SELECT 1 AS i, 1.5D AS d, 2.5 AS dec, 's' AS s, date'2020-01-01' AS dt, timestamp'2020-01-01' AS ts, true AS b")
     assert {r["name"]: r["kind"] for r in P.column_kinds(df).collect()} == {
         "i": "numeric", "d": "numeric", "dec": "numeric", "s": "categorical", "dt": "temporal", "ts": "temporal", "b": "boolean"}
+
+
+def test_csv_folder_of_drifting_headers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tarmac.sources.files import csv_headers, scan_csv_folder
+    files = {"a.csv": "id, name ,x,\n1,\"p, q\",1.5,\n2,,,\n3,r\n", "b.csv": "\ufeffx,id,extra\n2.5,4,e\nbad,5,f\n1,6,g,h\n",
+             "c.csv": "id,id,name\n7,8,s\n", "d.csv": "", "e.csv": "id,name\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("x", T.DoubleType())])
+    assert len(csv_headers(spark, str(tmp_path))) == 4
+    got = scan_csv_folder(spark, str(tmp_path), schema)
+    assert got.columns == ["id", "name", "x", "extra", "id_2", "broken_row"]
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {(1, "p, q", 1.5, None, None, None), (2, None, None, None, None, None), (4, None, 2.5, "e", None, None),
+                    (7, "s", None, None, "8", None), *[(None,) * 5 + (t,) for t in ("3,r", "bad,5,f", "1,6,g,h")]}
+    assert got.where("broken_row IS NOT NULL").count() == 3 and got.count() == 7
+    (tmp_path / "none").mkdir()
+    assert scan_csv_folder(spark, str(tmp_path / "none"), schema).count() == 0
