@@ -7,9 +7,13 @@ universe that level 1 lets through although they are not listed; level 3 the lis
 level 2 lets through; and so on, until a level lets nothing wrong through. A key's membership
 is then the parity of the first level that refuses it: exact over the whole universe.
 
-Every level is a bitmap built by grouped bit positions. It is brought to the driver only after
-its size is checked (``MAX_BITS``), and enters the plan as a literal array, so judging a url
-is a projection over the scan: no join, no shuffle, no Python.
+Level 1 is sized by both sets: it lets through about as many wrong keys as there are listed ones,
+and each later level half of what it is shown. So the bits grow with the listed keys, times the logarithm
+of how many unlisted keys come to one of them, whatever the size of the corpus.
+
+Every level is a bitmap built by grouped bit positions. It enters the plan as a literal array, so
+judging a url is a projection over the scan: no join, no shuffle, no Python. Rules so many that level 1
+would take more than ``LITERAL_BITS`` are looked up by an exact join of the distinct hosts and paths instead.
 
 Nulls, empty urls and urls without ``://`` have an empty host and path, match no rule and get
 the default verdict. Repeated rows get equal results; columns other than the two named are
@@ -26,12 +30,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import ascii_lower
+from tarmac.llm.common import ascii_lower, broadcast_if_small, stored
 
-#: a level over this many bits (8 MB) is refused: the rules are then too many for literals
-MAX_BITS = 1 << 26
-BITS_PER_KEY = 10
-HASHES = 5
+#: bits of a level (128 KB) up to which it is a literal of the plan
+LITERAL_BITS = 1 << 20
+#: keys (some tens of bytes each) up to which a side of a join is broadcast
+BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -71,68 +75,94 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(position, F.lit(64)).cast("int"))
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits)) for i in range(HASHES)]
+@dataclass(frozen=True)
+class Level:
+    """A bitmap of 64-bit words; a key has ``hashes`` positions, steps of one hash from another one."""
+
+    seed: int
+    hashes: int
+    words: np.ndarray
+
+    def positions(self, key: Column) -> Column:
+        return _positions(key, self.seed, self.hashes, len(self.words) * 64)
+
+    def passes(self, key: Column) -> Column:
+        bitmap = F.lit(self.words)
+        return F.forall(self.positions(key), lambda p: F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0)
+
+
+def _positions(key: Column, seed: int, hashes: int, bits: int) -> Column:
+    first, step = F.xxhash64(key, F.lit(2 * seed)), F.xxhash64(key, F.lit(2 * seed + 1))
+    # the hashes are cut to the bits before they are combined: nothing overflows
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)),
+                       lambda i: F.pmod(F.pmod(first, F.lit(bits)) + i * F.pmod(step, F.lit(bits)), F.lit(bits)))
 
 
-def _bitmap(keys: DataFrame, level: int, count: int) -> np.ndarray:
-    """The level's bits as 64-bit words. The bitmap's size follows from ``count`` alone and is
-    checked first, so at most ``MAX_BITS / 64`` numbers come to the driver."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, count) * BITS_PER_KEY)))
-    if bits > MAX_BITS:
-        raise ValueError(f"{count} keys need {bits} bits in level {level}; at most {MAX_BITS} are broadcast")
+def sized(inside: int, outside: int, first: bool) -> tuple[int, int]:
+    """Hashes and bits (whole words) of a level for ``inside`` keys, so that of ``outside`` others about as many as
+    the keys pass (first level), or half (later ones)."""
+    hashes = max(1, math.ceil(math.log2(max(outside, 1) / max(inside, 1)))) if first else 1
+    return hashes, 64 * max(1, math.ceil(inside * hashes / math.log(2) / 64))
+
+
+def _level(keys: DataFrame, seed: int, hashes: int, bits: int) -> Level:
+    """The level of ``keys``: ``bits / 64`` words come to the driver at most."""
     words = np.zeros(bits // 64, dtype=np.int64)
-    rows = (keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
+    rows = (keys.select(F.explode(_positions(F.col("key"), seed, hashes, bits)).alias("p"))
             .groupBy(F.shiftright("p", 6).alias("w"))
             .agg(F.bit_or(_bit(F.col("p"))).alias("v"))
             .collect())
     for r in rows:
         words[r.w] = r.v
-    return words
-
-
-def _passes(key: Column, level: int, words: np.ndarray) -> Column:
-    bitmap = F.lit(words)
-    hit = [F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0
-           for p in _positions(key, level, len(words) * 64)]
-    out = hit[0]
-    for h in hit[1:]:
-        out = out & h
-    return out
+    return Level(seed, hashes, words)
 
 
 class Cascade:
     """Levels of a Bloom filter cascade; :meth:`listed` is an exact membership test over the
     universe the cascade was built for."""
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __init__(self, levels: list[Level]):
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> "Cascade":
+    def build(cls, listed: DataFrame, universe: DataFrame, most: int | None = None) -> "Cascade | None":
         """``listed`` and ``universe`` hold a column ``key``; the listed keys outside the universe
-        are encoded as well. Both are deduplicated before their hashes are combined."""
-        listed = listed.select("key").distinct()
-        others = universe.select("key").distinct().join(F.broadcast(listed), "key", "left_anti")
-        levels: list[np.ndarray] = []
+        are encoded as well. Both are deduplicated and written before their hashes are combined, and what a level
+        lets through wrongly is written once. None if level 1 would have more than ``most`` bits."""
+        listed = stored(listed.select("key").distinct(), "listed-keys")
+        others = stored(universe.select("key").distinct().join(broadcast_if_small(listed, BROADCAST_KEYS), "key", "left_anti"), "other-keys")
+        levels: list[Level] = []
         inside, outside = listed, others  # keys the next level must let through, and refuse
+        shown = others.count()
         while True:
             count = inside.count()
             if count == 0:
                 return cls(levels)
-            words = _bitmap(inside, len(levels), count)
-            wrong = outside.where(_passes(F.col("key"), len(levels), words))
-            levels.append(words)
-            inside, outside = wrong, inside
+            hashes, bits = sized(count, shown, not levels)
+            if bits > (LITERAL_BITS if most is None else most):
+                return None
+            levels.append(_level(inside, len(levels), hashes, bits))
+            wrong = stored(outside.where(levels[-1].passes(F.col("key"))), "wrong-keys")
+            inside, outside, shown = wrong, inside, count
 
     def listed(self, key: Column) -> Column:
         """The first level that refuses a key tells: an even number of passed levels, not listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
-            out = F.when(_passes(key, level, self.levels[level]), out).otherwise(F.lit(level % 2 == 1))
+            out = F.when(self.levels[level].passes(key), out).otherwise(F.lit(level % 2 == 1))
         return out
 
 
+def _judged_by_join(keyed: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
+    """The way for rules that are too many for literals: each distinct host and path meets its rules in a join."""
+    rules = stored(rules, "rules")
+    keys = keyed.select("host", "path", "_keys").distinct().select("host", "path", F.explode("_keys").alias("key"))
+    best = F.max_by(F.struct("key", "_verdict"), F.struct(F.char_length("key"), F.col("key")))
+    fits = stored(keys.join(broadcast_if_small(rules, BROADCAST_KEYS), "key").groupBy("host", "path").agg(best.alias("_rule")), "rules-that-fit")
+    return keyed.join(broadcast_if_small(fits, BROADCAST_KEYS), ["host", "path"], "left").select(
+        id_col, "host", "path", F.col("_rule.key").alias("rule"), F.coalesce("_rule._verdict", F.lit(default)).alias("verdict"))
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url",
                default: str = "allow") -> DataFrame:
     """``id, host, path, rule, verdict`` of every row: the longest rule that fits, by the cascade."""
@@ -146,8 +176,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     if not rules:
         return rows.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"),
                            F.lit(default).alias("verdict"))
-    listed = spark.createDataFrame([(r.key,) for r in rules], "key string")
+    listed = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, _verdict string").dropDuplicates(["key"])
     cascade = Cascade.build(listed, keyed.select(F.explode("_keys").alias("key")))
+    if cascade is None:
+        return _judged_by_join(keyed, listed, id_col, default)
     fits = F.filter("_keys", cascade.listed)
     best = F.element_at(F.array_sort(F.transform(fits, lambda k: F.struct(
         (-F.char_length(k)).alias("n"), k.alias("key")))), 1)["key"]

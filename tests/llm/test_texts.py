@@ -198,9 +198,9 @@ def brute_url(url, rules):
     return host, path, best and best.key, best.verdict if best else "allow"
 
 
-def test_urls_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)  # many false positives: several levels
-    monkeypatch.setattr(url_filter, "HASHES", 1)
+@pytest.mark.parametrize("bits", [1 << 20, 0])  # the cascade, and the way for rules past its limit
+def test_urls_equal_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(url_filter, "LITERAL_BITS", bits)
     rng = random.Random(8)
     hosts = [f"{a}{b}.{c}" for a in ("", "www.", "a.b.") for b in ("x", "Example", "ex") for c in ("net", "org", "co.uk")]
     rules = [url_filter.Rule(rng.choice(["block", "allow"]), f"{h.lower()}{p}") for h in [*hosts[:6], "net", "uk"]
@@ -216,15 +216,27 @@ def test_urls_equal_brute_force(spark, monkeypatch):
     assert url_filter.judge_urls(pages, []).where("verdict <> 'allow'").count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
-    universe = spark.range(3_000).selectExpr("concat('k', id) AS key")
-    listed = universe.where("hash(key) % 7 = 0")
-    cascade = url_filter.Cascade.build(listed, universe)
-    assert len(cascade.levels) > 2
+@pytest.mark.parametrize("share", [2, 7, 1500])
+def test_cascade_is_exact_over_its_universe(spark, share):
     from pyspark.sql import functions as F
-    assert universe.where(cascade.listed(F.col("key"))).exceptAll(listed).count() == 0
+    universe = spark.range(3_000).selectExpr("concat('k', id) AS key").unionByName(spark.range(2).selectExpr("'k1' AS key"))
+    listed = universe.where(f"pmod(hash(key), {share}) = 0").unionByName(spark.createDataFrame([("elsewhere",), ("k1",)], "key string"))
+    cascade = url_filter.Cascade.build(listed, universe)
+    assert len(cascade.levels) > 1
+    assert universe.where(cascade.listed(F.col("key"))).select("key").distinct().exceptAll(listed.distinct()).count() == 0
     assert listed.where(~cascade.listed(F.col("key"))).count() == 0
-    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
-    with pytest.raises(ValueError, match="bits"):
-        url_filter.Cascade.build(listed, universe)
+    assert url_filter.Cascade.build(listed, universe, 64 if share < 1500 else 0) is None
+
+
+def test_cascade_grows_with_the_listed_keys():
+    sizes = {universe: url_filter.sized(4, universe, True) for universe in (10**4, 10**7, 10**10, 10**13)}
+    assert all(bits <= 320 for _, bits in sizes.values())
+    assert url_filter.sized(20_000, 10**12, True)[1] < url_filter.LITERAL_BITS
+
+
+def test_very_long_url(spark):
+    rules = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "net/aaaa")]
+    long = "http://" + "a." * 20_000 + "NET/" + "a" * 50_000
+    pages = spark.createDataFrame([(1, long, 1), (1, long, 2)], "page_id bigint, url string, verdict int")
+    got = url_filter.judge_urls(pages, rules).collect()
+    assert [(r.rule, r.verdict, len(r.host), len(r.path)) for r in got] == [("net/aaaa", "allow", 40_003, 50_001)] * 2
