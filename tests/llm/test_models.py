@@ -62,11 +62,18 @@ def test_toxicity_empty_table(spark):
     assert toxicity.score_documents(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 0
 
 
-def test_model_size_is_bounded(spark, labelled):
-    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id bigint, text string")
+def test_large_model_as_a_table_gives_the_same_scores(spark, labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT_WORDS", 100)
+    odd = [(10**6, None), (10**6 + 1, ""), (0, labelled[0][1]), (10**6 + 2, "12 34"), (10**6 + 3, "zzqqj " * 3_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled[:400]] + odd, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id bigint, toxic int")
     counts = toxicity.ngram_counts(toxicity.training_rows(docs, labels))
-    assert 0 < toxicity.fitting_counts(counts, 300).num_rows <= 300 < counts.count()
+    assert counts.count() > 300 and toxicity.ratio_table(counts).count() == counts.count()  # no n-gram is left out
+    want, got = (sorted((r.doc_id, r.held_out, r.predicted, r.ratio, r.score) for r in toxicity.score_documents(docs, labels, most).collect())
+                 for most in (toxicity.BROADCAST_NGRAMS, 300))
+    assert len(got) == 405 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert [x for r in got for x in r[3:]] == pytest.approx([x for r in want for x in r[3:]], abs=1e-5)
+    assert toxicity.score_documents(docs.limit(0), labels, -1).count() == 0
 
 
 def test_language_fusion(spark):
