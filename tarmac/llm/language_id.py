@@ -42,7 +42,7 @@ ORDER = 3
 ALPHA = 0.1
 HOST_WEIGHT = 5.0
 CODE_WEIGHT = 5.0
-MAX_LANGUAGES = 500
+WORD_CELLS = 2_000_000  # words times languages whose scores a task remembers
 
 _HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(rb"<[^>]*>")
@@ -77,22 +77,39 @@ def language_counts(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+class _Sparse:
+    """Rows of (column, value) pairs, added into rows of a dense array."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int):
+        order = np.argsort(rows, kind="stable")
+        self.columns, self.values = columns[order].astype(np.int32), values[order].astype(np.float32)
+        self.begin = np.searchsorted(rows[order], np.arange(size + 1))
+
+    def add(self, out: np.ndarray, targets: np.ndarray, rows: np.ndarray) -> None:
+        n = self.begin[rows + 1] - self.begin[rows]
+        at = np.repeat(self.begin[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, int)
+        np.add.at(out, (np.repeat(targets, n), self.columns[at]), self.values[at])
+
+
 class TrigramModel:
-    """Log-likelihoods of words under each language; a few thousand trigrams by language."""
+    """Log-likelihoods of words under each language, for any number of languages.
+
+    Only the trigrams and contexts that a language has are held: all others have the same likelihood in it, that of
+    an unseen trigram. So the size is that of the table of counts, some thousand trigrams a language.
+    """
 
     def __init__(self, table: pa.Table):
         self.langs = sorted(set(table["lang"].to_pylist()))
-        if len(self.langs) > MAX_LANGUAGES:
-            raise ValueError(f"{len(self.langs)} languages; at most {MAX_LANGUAGES}")
-        key = table["key"].to_numpy().view(np.uint64)
+        key, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
         lang = np.searchsorted(self.langs, table["lang"].to_pylist()) if self.langs else np.empty(0, int)
         self.keys, at = np.unique(key, return_inverse=True)
-        counts = np.zeros((len(self.keys), len(self.langs)))
-        counts[at, lang] = table["n"].to_numpy()
-        ctx, of = np.unique(contexts(self.keys), return_inverse=True)
-        whole = np.zeros((len(ctx), len(self.langs)))
-        np.add.at(whole, of, counts)
-        self.logs = np.log((counts + ALPHA) / (whole[of] + ALPHA * 64)).astype(np.float32)
+        places, self.place = np.unique(contexts(self.keys), return_inverse=True)
+        self.unseen = np.float32(-np.log(64))
+        self.own = _Sparse(at, lang, np.log((n + ALPHA) / ALPHA), len(self.keys))
+        width = max(len(self.langs), 1)
+        cell, of = np.unique(self.place[at] * width + lang, return_inverse=True)  # contexts of a language
+        whole = np.bincount(of, weights=n, minlength=len(cell))
+        self.context = _Sparse(cell // width, cell % width, np.log(ALPHA * 64 / (whole + ALPHA * 64)), len(places))
 
     def of_words(self, words: list[bytes]) -> list[np.ndarray]:
         keys, number = ngrams(words, ORDER)
@@ -100,7 +117,9 @@ class TrigramModel:
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             known = self.keys[at] == keys  # a trigram that no language has says nothing
-            np.add.at(found, number[known], self.logs[at[known]])
+            found += (np.bincount(number[known], minlength=len(words)) * self.unseen).astype(np.float32)[:, None]
+            self.own.add(found, number[known], at[known])
+            self.context.add(found, number[known], self.place[at[known]])
         return list(found)
 
 
@@ -113,7 +132,7 @@ def page_features(pages: DataFrame, model: TrigramModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scores = WordScores(m.of_words, 200_000)
+        scores = WordScores(m.of_words, max(1_000, min(200_000, WORD_CELLS // max(len(m.langs), 1))))
         for batch in batches:
             logs, guesses = [], []
             for html in batch.column("html").to_pylist():
@@ -139,10 +158,18 @@ def page_features(pages: DataFrame, model: TrigramModel) -> DataFrame:
     return stored(rows.mapInArrow(run, FEATURES), "page-features")
 
 
-def _counts(features: DataFrame, by: str, langs: int) -> DataFrame:
-    """``by`` and an array of pages by guessed language."""
-    sums = [F.sum((F.col("guess") == k).cast("int")).cast("double") for k in range(langs)]
-    return features.where(F.col("guess").isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.array(*sums).alias(f"{by}_counts"))
+def _counts(features: DataFrame, by: str) -> DataFrame:
+    """``by`` and its pages by guessed language, as an array of (language, number): those that it has."""
+    known = features.where(F.col("guess").isNotNull() & F.col(by).isNotNull())
+    counts = known.groupBy(by, "guess").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return counts.groupBy(by).agg(F.collect_list(F.struct("guess", "n")).alias(f"{by}_counts"))
+
+
+def _dense(entries: list | None, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for e in entries or ():
+        out[e["guess"]] = e["n"]
+    return out
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -156,14 +183,14 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         return features.select("page_id", "host", "declared", "suffix", none.alias("text_lang"), none.alias("lang"),
                                F.lit(None).cast("double").alias("confidence"))
-    codes = {by: {r[0]: np.array(r[1]) for r in _counts(features, by, len(langs)).collect()}
+    codes = {by: {r[0]: _dense(r[1], len(langs)) for r in _counts(features, by).collect()}
              for by in ("declared", "suffix")}  # codes of two or three letters: bounded
     total = features.where("guess IS NOT NULL").groupBy("guess").count().collect()  # a row for each language
     every = np.zeros(len(langs))
     for guess, n in total:
         every[guess] = n
-    hosts = stored(_counts(features, "host", len(langs)), "host-counts")
-    domains = _counts(features, "domain", len(langs)).withColumnRenamed("domain", "d")
+    hosts = stored(_counts(features, "host"), "host-counts")
+    domains = _counts(features, "domain").withColumnRenamed("domain", "d")
     hosts = stored(hosts.join(domains, F.substring_index(hosts["host"], ".", -2) == domains["d"], "left")
                    .select(hosts["host"].alias("h"), "host_counts", "domain_counts"), "host-priors")
     known = spark.sparkContext.broadcast((langs, codes, every))
@@ -185,8 +212,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
             for declared, suffix, loglik, guess, host, domain in zip(*(batch.column(c).to_pylist() for c in (
                     "declared", "suffix", "loglik", "guess", "host_counts", "domain_counts"))):
                 own = np.eye(len(langs))[guess] if guess is not None else zeros  # a page is no evidence of itself
-                domain = np.maximum(np.array(domain) - own, 0) if domain else zeros
-                host = np.maximum(np.array(host) - own, 0) if host else zeros
+                domain, host = (np.maximum(_dense(x, len(langs)) - own, 0) for x in (domain, host))
                 prior = (domain + HOST_WEIGHT * base) / (domain.sum() + HOST_WEIGHT)
                 prior = (host + HOST_WEIGHT * prior) / (host.sum() + HOST_WEIGHT)
                 log = np.array(loglik) + np.log(prior) + given(codes["declared"], declared) + given(codes["suffix"], suffix)

@@ -97,6 +97,30 @@ def test_language_fusion(spark):
     assert all(r.lang == ("aa" if r.host.startswith("aa") else "bb") for r in got if r.page_id is not None and r.page_id < 20)
 
 
+def test_word_likelihoods_equal_plain_python():
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tarmac.llm.byte_ngrams import weighted_counts
+    rng = random.Random(4)
+    langs = [f"l{k:03}" for k in range(600)]  # more than a dense table was allowed
+    words = {l: Counter(syllables(rng, ["ta", "ri", "mo", "né", "xu"], 2).encode() for _ in range(4)) for l in langs}
+    rows = [(l, int(k), int(n)) for l in langs for k, n in zip(*weighted_counts(words[l], language_id.ORDER))]
+    model = language_id.TrigramModel(pa.table({"lang": [r[0] for r in rows], "key": pa.array([r[1] for r in rows], pa.int64()),
+                                               "n": [r[2] for r in rows]}))
+    grams = lambda w: [(b" " + w + b" ")[max(0, i - 2):i + 1] for i in range(1, len(w) + 2)]
+    counts = {l: Counter(g for w, n in words[l].items() for g in grams(w) * n) for l in langs}
+    known = set().union(*counts.values())
+    tried = [b"tari", "moné".encode(), b"zzz", b"xuxuxu"]
+    for w, got in zip(tried, model.of_words(tried)):
+        for l, x in zip(langs, got):
+            whole = lambda g: sum(n for h, n in counts[l].items() if h[:-1] == g[:-1] and len(h) == len(g))
+            want = sum(math.log((counts[l][g] + language_id.ALPHA) / (whole(g) + language_id.ALPHA * 64)) for g in grams(w) if g in known)
+            assert x == pytest.approx(want, abs=1e-3)
+
+
 def test_language_without_labels_or_pages(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     pages = spark.createDataFrame([(1, "http://a.org/", "<p>x</p>")], "page_id bigint, url string, html string")
