@@ -3,29 +3,33 @@
 A document's set is its distinct 5-word shingles; two documents link when their sets' Jaccard
 similarity is at least 3/4, and a group is a connected component of links.
 
-1. *Signatures* (one pass over the texts): the set's size and 128-bit hash, and band keys, which
-   say in which trees the document is a leaf. Equal sets collapse to one class (grouped,
-   combined before the shuffle); texts of classes that share a key are set apart once.
-2. *Trees.* Each band key that several classes share is one tree. A leaf holds a class's shingle
-   hashes and their bitmap (four to eight bits a shingle); an inner node the OR of its
+1. *Signatures* (two passes over the texts): the first counts shingles in ``BUCKETS`` buckets, of which each
+   task reports those far above its mean; the second gives the set's size, 128-bit hash, bitmap (four to eight bits
+   a shingle) and prefix: its ``n // 4 + 1`` rarest shingles, in the order of (bucket's count, hash). Two sets
+   that link share a shingle of both prefixes, whatever the order is, so what the buckets miss costs time and
+   never a link. Equal sets collapse to one class (grouped, combined before the shuffle).
+2. *Trees.* The classes whose prefixes hold a shingle have one root, the smallest of them; all that have a
+   root in common are the leaves of its tree, in one tree for each width of bitmap. Linked sets
+   differ in width by one step at most: a class is also a guest, its bitmap folded, in the tree one step narrower, and
+   guests do not meet there. A leaf holds the set's bitmap; an inner node the OR of its
    children's bitmaps, the range of their sizes and the largest number of shingles that fell on
    an already set bit. For two nodes, ``popcount(or1 & or2) + min(excess1, excess2)`` bounds the
    overlap of any two documents below them; a pair of nodes goes on only if that could reach 3/7
    of their smallest sizes.
-3. *First traversal: the root leaf.* Every leaf is compared with its tree's smallest class, so
-   a group of near copies, however large, costs one comparison for each leaf.
+3. *First traversal: the pivot.* Every tree is traversed together with its smallest class alone, so
+   a group of near copies, however large, gives one candidate for each leaf.
 4. *Dual traversal.* In trees whose leaves still lie in different components, node pairs are
    traversed from the roots; pairs wholly inside one component and pairs under the bound are
-   pruned, and leaves that are left are compared by their 32-bit shingle hashes. One pair for
+   pruned. It ships bitmaps only and names the leaves that have a possible partner; a second traversal
+   among these compares leaves by their 32-bit shingle hashes. One pair for
    each leaf and other component is a candidate: more would say nothing new. Large trees are
    cut into blocks of ``BLOCK`` leaves; only the leaves outside the tree's largest component
    probe the others.
 5. Candidates are verified exactly on the whole texts' shingle sets; components are found by
    distributed union-find.
 
-Band keys: 28 keys of 3 min-hashes. A link at exactly 3/4 shares no key with probability
-``(1 - 0.75**3)**28 = 2e-7``, a closer one with less. Nothing is capped: all members of a key
-are compared as said, whatever their number.
+Every link comes through a tree, and none is missed: prefixes and bounds are necessary conditions. Nothing is
+capped: all leaves of a tree are traversed as said, whatever their number. The driver gets the counts of at most ``BUCKETS`` buckets.
 
 Null or empty text, or text without words: empty set, linked with nothing, component_id is the
 row's own doc_id. Null doc_id: the component of the rows that have the same set, null without any. Repeated rows get equal
@@ -46,17 +50,16 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import broadcast_if_small, components, stored
 
 SHINGLE = 5
-BANDS, ROWS = 28, 3
-MAX_BITS = 1 << 17  # a bitmap's width; longer texts only get a weaker (still valid) bound
+BUCKETS = 1 << 20  # of the rarity order: one byte each goes to every task
+MIN_BITS, MAX_BITS = 1 << 6, 1 << 17  # a bitmap's width; longer texts only get a weaker (still valid) bound
 BLOCK = 512
 FAN = 8
 MEMBERS = 64  # leaves that one verification task compares with an anchor's text
 
 _rng = np.random.default_rng(20240501)
-_ODD = _rng.integers(1 << 62, size=max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PERM = _rng.integers(1 << 62, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(1 << 62, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNATURES = "doc_id bigint, n int, s1 bigint, s2 bigint, bands array<bigint>"
+SIGNATURES = "doc_id bigint, n int, s1 bigint, s2 bigint, w int, bitmap binary, prefix array<bigint>"
 
 
 class WordHash(dict):
@@ -90,15 +93,8 @@ def shingle_set(text: bytes | None, word_hash: WordHash, size: int = SHINGLE) ->
     return np.unique(mix(h))
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        np.minimum(low, (_PERM * shingles[i:i + 4096]).min(axis=1), out=low)
-    return low
-
-
 def bitmap_bits(n: int) -> int:
-    return min(MAX_BITS, max(64, 1 << (4 * max(n, 1) - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * max(n, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -108,33 +104,70 @@ def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.uint64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word_hash = WordHash()
-    band_no = np.arange(BANDS, dtype=np.uint64)
+def fold(sig: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap made narrower: what it would be at that many bits."""
+    while 64 * len(sig) > bits:
+        sig = sig[:len(sig) // 2] | sig[len(sig) // 2:]
+    return sig
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets with far more shingles than this task's mean."""
+    word_hash, counts = WordHash(), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        n, s1, s2, bands = [], [], [], []
         for text in batch.column("text").to_pylist():
-            u = shingle_set(text, word_hash)
-            n.append(len(u))
-            s1.append(int(u.sum().view(np.int64)))
-            s2.append(int(np.bitwise_xor.reduce(mix(u)).view(np.int64)) if len(u) else 0)
-            if len(u):
-                rows = (min_hashes(u).reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(axis=1) + band_no
-                bands.append(mix(rows).view(np.int64))
-            else:
-                bands.append(np.empty(0, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-        flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()),
-                               pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                              names=["doc_id", "n", "s1", "s2", "bands"])
+            at = (shingle_set(text, word_hash) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            np.add.at(counts, at, 1)
+    often = np.flatnonzero(counts >= max(3, 4 * int(counts.sum()) // BUCKETS))
+    yield pa.record_batch([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], names=["bucket", "n"])
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """A level for each bucket, the number of binary digits of its count: 0 where no task found it frequent."""
+    found = rows.select("text").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[found.column("bucket").to_numpy()] = np.frexp(found.column("n").to_numpy().astype(float))[1]
+    return levels
+
+
+def prefix(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, one of which any set that links with it has among its own rarest."""
+    order = np.argsort(levels[(shingles & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
+    return shingles[order[:len(shingles) // 4 + 1]]
+
+
+def _signatures(levels: np.ndarray):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_hash = WordHash()
+        for batch in batches:
+            n, s1, s2, w, maps, prefixes = [], [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                u = shingle_set(text, word_hash)
+                bits = bitmap_bits(len(u))
+                n.append(len(u))
+                s1.append(int(u.sum().view(np.int64)))
+                s2.append(int(np.bitwise_xor.reduce(mix(u)).view(np.int64)) if len(u) else 0)
+                w.append(bits.bit_length() - 1)
+                maps.append(bitmap(upper(u), bits).tobytes() if len(u) else b"")
+                prefixes.append(prefix(u, levels).view(np.int64) if len(u) else np.empty(0, np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
+                                   pa.array(w, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
+                                  names=["doc_id", "n", "s1", "s2", "w", "bitmap", "prefix"])
+    return signed
+
+
+def upper(shingles: np.ndarray) -> np.ndarray:
+    """The upper halves of shingle hashes; sorted, as the hashes are."""
+    return (shingles >> np.uint64(32)).astype(np.uint32)
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The upper halves of the shingle hashes, sorted, as bytes."""
     word_hash = WordHash()
     for batch in batches:
-        sets = [(shingle_set(t, word_hash) >> np.uint64(32)).astype(np.uint32) for t in batch.column("text").to_pylist()]
+        sets = [upper(shingle_set(t, word_hash)) for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "tokens"])
 
 
@@ -146,14 +179,24 @@ def enough(overlap, sizes):
 # ---- trees ----
 
 class Tree:
-    """Levels of a signature tree over leaves sorted by component and size; level 0 is the leaves."""
+    """Levels of a signature tree over leaves sorted by component (smallest member first) and size; level 0 is the leaves."""
 
     def __init__(self, ids: np.ndarray, comps: np.ndarray, tokens: list[np.ndarray], bits: int):
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        order = np.lexsort((sizes, comps))
-        self.ids, self.comps, self.tokens = ids[order], comps[order], [tokens[k] for k in order]
-        sig = np.stack([bitmap(t, bits) for t in self.tokens])
-        n = sizes[order]
+        self.build(ids, comps, np.array([len(t) for t in tokens], np.int64), np.stack([bitmap(t, bits) for t in tokens]))
+        self.tokens = [tokens[k] for k in self.order]
+
+    @classmethod
+    def of_bitmaps(cls, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sig: np.ndarray) -> Tree:
+        tree = cls.__new__(cls)
+        tree.build(ids, comps, sizes, sig)
+        return tree
+
+    def build(self, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sig: np.ndarray) -> None:
+        known, at = np.unique(comps, return_inverse=True)
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, sizes)
+        self.order = order = np.lexsort((sizes, comps, least[at]))
+        self.ids, self.comps, sig, n = ids[order], comps[order], sig[order], sizes[order]
         excess = n - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
         self.levels = [(sig, n, n, excess, self.comps, self.comps)]
         while len(self.levels[-1][0]) > 1:
@@ -167,8 +210,9 @@ class Tree:
                             np.minimum.reduceat(c_low, at), np.maximum.reduceat(c_high, at)))
 
 
-def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf numbers of ``a`` and ``b`` whose possible overlap may make a link across components."""
+def dual_traversal(a: Tree, b: Tree, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf numbers of ``a`` and ``b`` whose possible overlap may make a link across components.
+    ``seen`` gets the number of node pairs met and kept, level by level from the roots."""
     while len(a.levels) < len(b.levels):
         a.grow()
     while len(b.levels) < len(a.levels):
@@ -188,7 +232,10 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
             ok = enough(possible, la[1][x] + lb[1][y])
             keep_i.append(x[ok])
             keep_j.append(y[ok])
+        met = len(i)
         i, j = np.concatenate(keep_i), np.concatenate(keep_j)
+        if seen is not None:
+            seen.append((met, len(i)))
         if level:
             below_a, below_b = len(a.levels[level - 1][0]), len(b.levels[level - 1][0])
             kids = np.arange(FAN)
@@ -245,33 +292,100 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(pairs(rows))
 
 
+def partners(rows: list[tuple], seen: list | None = None) -> list[tuple]:
+    """``key, id, comp, probe`` of the leaves of two blocks that may link with a leaf of the other one.
+    A row: key, tb, pb, probe, id, comp, n, w, guest, bitmap."""
+    sides = [[r for r in rows if r[3] == probe] for probe in (False, True)]
+    if not all(sides):
+        return []
+    bits = 1 << min(r[7] for r in rows)
+    a, b = (Tree.of_bitmaps(np.array([r[4] for r in s]), np.array([r[5] for r in s]), np.array([r[6] for r in s], np.int64),
+                            np.stack([fold(np.frombuffer(r[9], np.uint64), bits) for r in s])) for s in sides)
+    i, j = dual_traversal(a, b, seen)
+    guests = [np.array([r[8] for r in s])[t.order] for s, t in zip(sides, (a, b))]
+    meet = ~(guests[0][i] & guests[1][j])
+    return [(rows[0][0], int(t.ids[k]), int(t.comps[k]), probe) for t, at, probe in ((a, i, False), (b, j, True))
+            for k in np.unique(at[meet]).tolist()]
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, tb, pb): traverses the trees of each two blocks by bitmaps alone."""
+    names, types = ("key", "id", "comp", "probe"), (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
+
+    rows, columns = [], ("key", "tb", "pb", "probe", "id", "comp", "n", "w", "guest", "bitmap")
+    for batch in batches:
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if rows and row[:3] != rows[0][:3]:
+                found += partners(rows)
+                rows = []
+            rows.append(row)
+        yield batch_of(found)
+    if rows:
+        yield batch_of(partners(rows))
+
+
 def _blocks(count: str):
     return F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
 
 
-def tree_candidates(leaves: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``a, b``: leaves of one tree, in different components, that link by their token sets.
+def _dealt(leaves: DataFrame, probes) -> DataFrame:
+    """The leaves of each tree (with its ``total``) in blocks, and those that probe (``minor`` of them) in others; each block meets each.
+    Rows are sorted by key, tb, pb."""
+    tbs, pbs, hashed = _blocks("total"), _blocks("minor"), F.xxhash64("id")
+    own = [c for c in leaves.columns if c not in ("key", "total", "minor", "major", "pivot")]
+    target = leaves.select("key", F.pmod(hashed, tbs).cast("int").alias("tb"),
+                           F.explode(F.sequence(F.lit(0), pbs - 1)).alias("pb"), F.lit(False).alias("probe"), *own)
+    probe = leaves.where(probes).select("key", F.explode(F.sequence(F.lit(0), tbs - 1)).alias("tb"),
+                                        F.pmod(hashed, pbs).cast("int").alias("pb"), F.lit(True).alias("probe"), *own)
+    return target.unionByName(probe).repartition("key", "tb", "pb").sortWithinPartitions("key", "tb", "pb")
 
-    ``leaves``: key, id, comp (stored); ``tokens``: id, tokens. A tree's largest component only waits to be probed, so a
-    tree with one large group and a few others costs the few times the whole, in blocks.
-    """
+
+def _mixed(leaves: DataFrame) -> DataFrame:
+    """The leaves of the trees that hold several components, with the tree's counts and its largest component."""
     parts = leaves.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     trees = (parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("total"),
                                       F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
              .where(F.col("comps") > 1))
     trees = stored(trees.select("key", "total", "major", (F.col("total") - F.col("most")).alias("minor")), "trees")
-    mixed = leaves.join(trees, "key").join(tokens, "id")
-    tbs, pbs, hashed = _blocks("total"), _blocks("minor"), F.xxhash64("id")
-    target = mixed.select("key", F.pmod(hashed, tbs).cast("int").alias("tb"),
-                          F.explode(F.sequence(F.lit(0), pbs - 1)).alias("pb"), F.lit(False).alias("probe"),
-                          "id", "comp", "tokens")
-    probe = mixed.where(F.col("comp") != F.col("major")).select(
-        "key", F.explode(F.sequence(F.lit(0), tbs - 1)).alias("tb"), F.pmod(hashed, pbs).cast("int").alias("pb"),
-        F.lit(True).alias("probe"), "id", "comp", "tokens")
-    return (target.unionByName(probe).repartition("key", "tb", "pb").sortWithinPartitions("key", "tb", "pb")
+    return leaves.join(broadcast_if_small(trees), "key")
+
+
+def tree_candidates(leaves: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``a, b``: leaves of one tree, in different components, that link by their token sets.
+
+    ``leaves``: key, id, comp (stored); ``tokens``: id, tokens. A tree's largest component only waits to be probed, so a
+    tree with one large group and a few others costs the few times the whole, in blocks.
+    """
+    return (_dealt(_mixed(leaves).join(tokens, "id"), F.col("comp") != F.col("major"))
             .mapInArrow(_traverse, "a bigint, b bigint").where("a <> b").distinct())
 
 
+def leaves_of(reps: DataFrame) -> DataFrame:
+    """``key, id, s1, guest, w, total, pivot`` of every leaf in every tree that may hold a link, stored."""
+    postings = reps.select(F.col("doc_id").alias("id"), "s1", "w", F.explode("prefix").alias("shingle"))
+    roots = stored(postings.groupBy("shingle").agg(F.min("id").alias("root"), F.max("id").alias("last"))
+                   .where("root < last").select("shingle", "root"), "roots")
+    own = postings.join(broadcast_if_small(roots), "shingle").select("id", "s1", "w", "root").distinct()
+    in_tree = F.explode(F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("guest")),
+                                F.struct((F.col("w") - 1).alias("w"), F.lit(True).alias("guest")))).alias("t")
+    leaves = own.select("id", "s1", "root", in_tree).where(F.col("t.w") >= MIN_BITS.bit_length() - 1)
+    leaves = stored(leaves.select(F.xxhash64("root", "t.w").alias("key"), "id", "s1", "t.guest", "t.w"), "leaves")
+    trees = stored(leaves.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min(F.when(~F.col("guest"), F.col("id"))).alias("pivot"))
+                   .where("total > 1 AND pivot IS NOT NULL"), "trees")
+    return stored(leaves.join(broadcast_if_small(trees), "key"), "leaves")
+
+
+def possible_partners(leaves: DataFrame, bitmaps: DataFrame, probes) -> DataFrame:
+    """``key, id, comp, probe``: leaves that a traversal by bitmaps leaves a possible partner in another component.
+    ``leaves`` have their tree's ``total`` and ``minor``, ``bitmaps``: id, s1, n, bitmap."""
+    return _dealt(leaves.join(bitmaps, ["id", "s1"]).drop("s1"), probes).mapInArrow(
+        _partners, "key bigint, id bigint, comp bigint, probe boolean")
+
+
 # ---- exact verification ----
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,24 +425,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sig = stored(rows.mapInArrow(_signatures, SIGNATURES), "signatures")
+    sig = stored(rows.mapInArrow(_signatures(rarity(rows)), SIGNATURES), "signatures")
     classes = stored(sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
                      .agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "s1", "s2"], "left_semi")
-    postings = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    roots = stored(postings.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("last"))
-                   .where("root < last").select("key", "root"), "roots")
-    leaves = stored(postings.join(roots, "key"), "leaves")
-    wanted = stored(leaves.select("id").distinct(), "wanted")
-    texts = stored(documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-                   .join(broadcast_if_small(wanted), "id", "left_semi"), "texts")
-    first = stored(leaves.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), "pairs")
-    links = stored(verified(first, texts), "links")
+    reps = sig.join(broadcast_if_small(classes.withColumnRenamed("rep", "doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
+    leaves = leaves_of(reps)
+    wanted = stored(leaves.select(F.col("id").alias("doc_id"), "s1").distinct(), "wanted")
+    bitmaps = stored(reps.join(broadcast_if_small(wanted), ["doc_id", "s1"], "left_semi")
+                     .select(F.col("doc_id").alias("id"), "s1", "n", "bitmap").dropDuplicates(["id", "s1"]), "bitmaps")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        named = rows.select(F.col("doc_id").alias("id"), "text")
+        return stored(named.join(broadcast_if_small(stored(ids.distinct(), "wanted")), "id", "left_semi"), "texts")
+
+    alone = leaves.select("*", F.col("id").alias("comp"), F.lit(1).alias("minor"))
+    first = possible_partners(alone, bitmaps, "id = pivot AND NOT guest").where("NOT probe").select("key", "id")
+    pivots = stored(leaves.select("key", "pivot").distinct(), "pivots")
+    first = stored(first.join(broadcast_if_small(pivots), "key").where("id <> pivot")
+                   .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    links = stored(verified(first, texts_of(first.select(F.explode(F.array("a", "b")).alias("id")))), "links")
     groups = components(links)
-    placed = stored(leaves.join(groups, leaves["id"] == groups["node"], "left")
-                    .select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
-    tokens = texts.mapInArrow(_token_sets, "id bigint, tokens binary")
-    second = stored(tree_candidates(placed, tokens), "pairs")
+    placed = stored(leaves.drop("total", "pivot").join(groups, leaves["id"] == groups["node"], "left")
+                    .select("key", "id", "s1", "guest", "w", F.coalesce("component", "id").alias("comp")), "placed")
+    left = stored(possible_partners(_mixed(placed), bitmaps, "comp <> major").select("key", "id", "comp").distinct(), "left")
+    texts = texts_of(left.select("id"))
+    tokens = stored(texts.mapInArrow(_token_sets, "id bigint, tokens binary"), "tokens")
+    second = stored(tree_candidates(left, tokens), "pairs")
     more = stored(verified(second, texts), "links")
     groups = stored(components(links.unionByName(more)), "components")
     named = sig.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
