@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles; two documents link when their
 similarity is at least 3/4, and a group is a connected component of links.
 
 1. *Signatures* (two passes over the texts): the first counts shingles in ``BUCKETS`` buckets, of which each
-   task reports those far above its mean; the second gives the set's size, 128-bit hash, bitmap (four to eight bits
+   task reports those far above its mean; the second gives the set's size, 128-bit hash, bitmap (two to four bits
    a shingle) and prefix: its ``n // 4 + 1`` rarest shingles, in the order of (bucket's count, hash). Two sets
    that link share a shingle of both prefixes, whatever the order is, so what the buckets miss costs time and
    never a link. Equal sets collapse to one class (grouped, combined before the shuffle).
@@ -17,8 +17,8 @@ similarity is at least 3/4, and a group is a connected component of links.
    overlap of any two documents below them; a pair of nodes goes on only if that could reach 3/7
    of their smallest sizes.
 3. *First traversal: the pivot.* Every tree is traversed together with its smallest class alone, so
-   a group of near copies, however large, gives one candidate for each leaf.
-4. *Dual traversal.* In trees whose leaves still lie in different components, node pairs are
+   a group of near copies, however large, gives one candidate for each leaf. Leaves whose size rules the pivot out stay behind.
+4. *Dual traversal.* In trees whose leaves but the pivot still lie in different components, node pairs are
    traversed from the roots; pairs wholly inside one component and pairs under the bound are
    pruned. It ships bitmaps only and names the leaves that have a possible partner; a second traversal
    among these compares leaves by their 32-bit shingle hashes. One pair for
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import broadcast_if_small, components, stored
 
 SHINGLE = 5
-BUCKETS = 1 << 20  # of the rarity order: one byte each goes to every task
+BUCKETS = 1 << 22  # of the rarity order: one byte each goes to every task
 MIN_BITS, MAX_BITS = 1 << 6, 1 << 17  # a bitmap's width; longer texts only get a weaker (still valid) bound
 BLOCK = 512
 FAN = 8
@@ -94,7 +94,7 @@ def shingle_set(text: bytes | None, word_hash: WordHash, size: int = SHINGLE) ->
 
 
 def bitmap_bits(n: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * max(n, 1) - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << (2 * max(n, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -113,13 +113,14 @@ def fold(sig: np.ndarray, bits: int) -> np.ndarray:
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The buckets with far more shingles than this task's mean."""
-    word_hash, counts = WordHash(), np.zeros(BUCKETS, np.int64)
+    word_hash, counts = WordHash(), np.zeros(BUCKETS, np.int32)
     for batch in batches:
         for text in batch.column("text").to_pylist():
             at = (shingle_set(text, word_hash) & np.uint64(BUCKETS - 1)).astype(np.int64)
             np.add.at(counts, at, 1)
-    often = np.flatnonzero(counts >= max(3, 4 * int(counts.sum()) // BUCKETS))
-    yield pa.record_batch([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], names=["bucket", "n"])
+    mean = int(counts.sum(dtype=np.int64)) / BUCKETS
+    often = np.flatnonzero(counts >= max(3.0, mean + 4 * mean ** 0.5))
+    yield pa.record_batch([pa.array(often, pa.int64()), pa.array(counts[often].astype(np.int64))], names=["bucket", "n"])
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -365,23 +366,34 @@ def tree_candidates(leaves: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def leaves_of(reps: DataFrame) -> DataFrame:
-    """``key, id, s1, guest, w, total, pivot`` of every leaf in every tree that may hold a link, stored."""
-    postings = reps.select(F.col("doc_id").alias("id"), "s1", "w", F.explode("prefix").alias("shingle"))
+    """``key, id, s1, n, w, guest, total, pivot`` of every leaf in every tree that may hold a link, stored.
+    ``pivot``: id, s1 and n of the tree's smallest class."""
+    postings = reps.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("shingle"))
     roots = stored(postings.groupBy("shingle").agg(F.min("id").alias("root"), F.max("id").alias("last"))
                    .where("root < last").select("shingle", "root"), "roots")
-    own = postings.join(broadcast_if_small(roots), "shingle").select("id", "s1", "w", "root").distinct()
+    own = stored(postings.join(broadcast_if_small(roots), "shingle").select("id", "root").distinct(), "own-trees")
+    sets = reps.select(F.col("doc_id").alias("id"), "s1", "n", "w").distinct()
     in_tree = F.explode(F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("guest")),
                                 F.struct((F.col("w") - 1).alias("w"), F.lit(True).alias("guest")))).alias("t")
-    leaves = own.select("id", "s1", "root", in_tree).where(F.col("t.w") >= MIN_BITS.bit_length() - 1)
-    leaves = stored(leaves.select(F.xxhash64("root", "t.w").alias("key"), "id", "s1", "t.guest", "t.w"), "leaves")
-    trees = stored(leaves.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min(F.when(~F.col("guest"), F.col("id"))).alias("pivot"))
+    leaves = own.join(sets, "id").select("id", "s1", "n", "root", in_tree).where(F.col("t.w") >= MIN_BITS.bit_length() - 1)
+    leaves = stored(leaves.select(F.xxhash64("root", "t.w").alias("key"), "id", "s1", "n", "t.w", "t.guest"), "leaves")
+    trees = stored(leaves.groupBy("key").agg(F.count(F.lit(1)).alias("total"),
+                                             F.min(F.when(~F.col("guest"), F.struct("id", "s1", "n"))).alias("pivot"))
                    .where("total > 1 AND pivot IS NOT NULL"), "trees")
     return stored(leaves.join(broadcast_if_small(trees), "key"), "leaves")
 
 
+def near_pivots(leaves: DataFrame) -> DataFrame:
+    """The leaves that by their sizes may link with their tree's pivot, and the pivot; as components of their own, stored."""
+    sized = enough(F.least("n", "pivot.n"), F.col("n") + F.col("pivot.n"))
+    sized = stored(leaves.where(sized).drop("total").withColumn("comp", F.col("id")), "sized")
+    total = stored(sized.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1"), "totals")
+    return sized.join(broadcast_if_small(total), "key").withColumn("minor", F.lit(1))
+
+
 def possible_partners(leaves: DataFrame, bitmaps: DataFrame, probes) -> DataFrame:
     """``key, id, comp, probe``: leaves that a traversal by bitmaps leaves a possible partner in another component.
-    ``leaves`` have their tree's ``total`` and ``minor``, ``bitmaps``: id, s1, n, bitmap."""
+    ``leaves`` have their tree's ``total`` and ``minor``, ``bitmaps``: id, s1, bitmap."""
     return _dealt(leaves.join(bitmaps, ["id", "s1"]).drop("s1"), probes).mapInArrow(
         _partners, "key bigint, id bigint, comp bigint, probe boolean")
 
@@ -432,21 +444,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     leaves = leaves_of(reps)
     wanted = stored(leaves.select(F.col("id").alias("doc_id"), "s1").distinct(), "wanted")
     bitmaps = stored(reps.join(broadcast_if_small(wanted), ["doc_id", "s1"], "left_semi")
-                     .select(F.col("doc_id").alias("id"), "s1", "n", "bitmap").dropDuplicates(["id", "s1"]), "bitmaps")
+                     .select(F.col("doc_id").alias("id"), "s1", "bitmap").dropDuplicates(["id", "s1"]), "bitmaps")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         named = rows.select(F.col("doc_id").alias("id"), "text")
         return stored(named.join(broadcast_if_small(stored(ids.distinct(), "wanted")), "id", "left_semi"), "texts")
 
-    alone = leaves.select("*", F.col("id").alias("comp"), F.lit(1).alias("minor"))
-    first = possible_partners(alone, bitmaps, "id = pivot AND NOT guest").where("NOT probe").select("key", "id")
-    pivots = stored(leaves.select("key", "pivot").distinct(), "pivots")
-    first = stored(first.join(broadcast_if_small(pivots), "key").where("id <> pivot")
-                   .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    is_pivot = "id = pivot.id AND s1 = pivot.s1 AND NOT guest"
+    near = near_pivots(leaves)
+    first = possible_partners(near, bitmaps, is_pivot).where("NOT probe").select("key", "id")
+    pivots = stored(near.select("key", F.col("pivot.id").alias("b")).distinct(), "pivots")
+    first = stored(first.join(broadcast_if_small(pivots), "key").where("id <> b")
+                   .select(F.col("id").alias("a"), "b").distinct(), "pairs")
     links = stored(verified(first, texts_of(first.select(F.explode(F.array("a", "b")).alias("id")))), "links")
     groups = components(links)
-    placed = stored(leaves.drop("total", "pivot").join(groups, leaves["id"] == groups["node"], "left")
-                    .select("key", "id", "s1", "guest", "w", F.coalesce("component", "id").alias("comp")), "placed")
+    others = leaves.where(f"total > 2 AND NOT ({is_pivot})")
+    placed = stored(others.join(groups, others["id"] == groups["node"], "left")
+                    .select("key", "id", "s1", "n", "w", "guest", F.coalesce("component", "id").alias("comp")), "placed")
     left = stored(possible_partners(_mixed(placed), bitmaps, "comp <> major").select("key", "id", "comp").distinct(), "left")
     texts = texts_of(left.select("id"))
     tokens = stored(texts.mapInArrow(_token_sets, "id bigint, tokens binary"), "tokens")

@@ -189,3 +189,38 @@ def test_deduplicated_texts(spark):
     assert line_dedup.report(frame(spark, [])).count() == 0
     again = line_dedup.deduplicated(frame(spark, [(1, long), (1, long)]))
     assert [r.text for r in again.collect()] == [long, long]
+
+
+def test_every_link_comes_through_a_tree(spark, corpus):
+    """Prefixes of linked sets meet whatever the order of shingles is; bitmaps of any width keep linked leaves."""
+    word_hash, rng = ngram_join.WordHash(), np.random.default_rng(9)
+    sets = {i: ngram_join.shingle_set((t or "").encode(), word_hash) for i, t in corpus}
+    sets = {i: u for i, u in sets.items() if len(u)}
+    links = [(a, b) for a in sets for b in sets if a < b and ngram_join.enough(len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b]))]
+    assert len(links) > 200
+    for levels in (np.zeros(ngram_join.BUCKETS, np.uint8), rng.integers(0, 9, ngram_join.BUCKETS, dtype=np.uint8)):
+        rare = {i: set(ngram_join.prefix(u, levels).tolist()) for i, u in sets.items()}
+        assert all(rare[a] & rare[b] for a, b in links)
+    width = {i: ngram_join.bitmap_bits(len(u)).bit_length() - 1 for i, u in sets.items()}
+    assert all(abs(width[a] - width[b]) <= 1 for a, b in links)
+    ids, seen, found = sorted(sets), [], set()
+    for w in sorted(set(width.values())):  # one tree a width, with guests of the next one
+        inside = [(i, width[i] > w) for i in ids if width[i] in (w, w + 1)]
+        row = lambda i, guest, probe: (w, 0, 0, probe, i, i, len(sets[i]), w, guest, ngram_join.bitmap(
+            ngram_join.upper(sets[i]), 1 << width[i]).tobytes())
+        left = ngram_join.partners([row(i, g, probe) for i, g in inside for probe in (False, True)], seen)
+        found |= {(w, i) for _, i, _, probe in left if probe}
+    assert all((min(width[a], width[b]), i) in found for a, b in links for i in (a, b))
+    met, kept = (sum(x[k] for x in seen) for k in (0, 1))
+    assert kept < met / 2  # node pairs under the bound are not gone into
+
+
+def test_pivot_finds_a_group_and_traversal_the_rest(spark):
+    rng = random.Random(8)
+    phrase, rows = words(rng, 30), []
+    for g in range(30):  # all share rare words with the smallest id, and pairs among the others link
+        base = phrase + words(rng, 60)
+        rows += [(10 * g + 1, " ".join(base)), (10 * g + 2, " ".join([*base, *words(rng, 2)]))]
+    rows.append((0, " ".join(phrase + words(rng, 2))))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0: 0} | {10 * g + k: 10 * g + 1 for g in range(30) for k in (1, 2)}
