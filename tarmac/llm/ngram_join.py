@@ -28,7 +28,7 @@ similarity is at least 3/4, and a group is a connected component of links.
 5. Candidates are verified exactly on the whole texts' shingle sets; components are found by
    distributed union-find.
 
-Every link comes through a tree, and none is missed: prefixes and bounds are necessary conditions. Nothing is
+Every link between different sets comes through a tree, and none is missed: prefixes and bounds are necessary conditions. Nothing is
 capped: all leaves of a tree are traversed as said, whatever their number. The driver gets the counts of at most ``BUCKETS`` buckets.
 
 Null or empty text, or text without words: empty set, linked with nothing, component_id is the
