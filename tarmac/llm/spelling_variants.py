@@ -225,7 +225,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def met() -> Iterator[pa.RecordBatch]:
         if now is not None:
             same = now["step"] == 0 and now["k"] == now["j"]
-            for a, b in block_pairs(*sides, same):
+            # a shuffle brings the sides in any order, and numbers tell a pair's halves apart only in one
+            for a, b in block_pairs(sides[0], sides[0] if same else sides[1], same):
                 yield pa.record_batch([pa.array([w.decode("latin-1") for w in x], pa.string()) for x in (a, b)], names=["a", "b"])
 
     for batch in batches:

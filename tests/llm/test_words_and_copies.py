@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import product
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +115,16 @@ def test_every_meeting_of_blocks_is_made_once(spark):
     assert Counter(tuple(sorted(r)) for r in found) == Counter(near)
 
 
+def test_a_block_meets_itself_whatever_the_order_of_its_rows():
+    words = ["".join(w) for w in product("abn", repeat=6)][:300]
+    other = random.Random(3).sample(words, len(words))
+    pair = {"len": 6, "c0": 1, "c1": 1, "step": 0, "k": 0, "j": 0}
+    rows = pa.record_batch([pa.array([pair] * 600), pa.array([0] * 300 + [1] * 300), pa.array(words + other)],
+                           names=["pair", "side", "word"])
+    found = Counter(tuple(sorted(r.values())) for b in spelling_variants._meet(iter([rows])) for r in b.to_pylist())
+    assert found == Counter((a, b) for a in words for b in words if a < b and is_near(a, b))
+
+
 # ---- op12 ----
 
 @settings(max_examples=40, deadline=None)
