@@ -283,3 +283,16 @@ def test_csv_folder_of_drifting_headers(spark, tmp_path):
     assert got.where("broken_row IS NOT NULL").count() == 3 and got.count() == 7
     (tmp_path / "none").mkdir()
     assert scan_csv_folder(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_flight_plans_keep_methods_small_enough_to_be_compiled(spark, sf):
+    from tarmac.session import JIT_LIMIT, METHOD_LIMIT
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        for limit, kept in (("65535", JIT_LIMIT), ("4000", 4000)):
+            spark.conf.set(METHOD_LIMIT, limit)
+            rows = flights_clean(spark, sf)
+            assert int(spark.conf.get(METHOD_LIMIT)) == kept
+            assert rows.count() > 0
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
