@@ -61,7 +61,7 @@ def running_totals(scored: DataFrame, label: str = LABEL) -> DataFrame:
 def _write_round(df: DataFrame, batch_id: int, path: str) -> None:
     """A table's rows of one round; a round that runs again replaces its own."""
     (df.withColumn("round", F.lit(batch_id).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("round").parquet(path))
 
 
 def start_rounds(scored: DataFrame, path: str, checkpoint: str, name: str = "rounds", label: str = LABEL,

@@ -141,3 +141,19 @@ def test_envelope_has_headers_and_a_real_timestamp(spark, sf):
     from tarmac.streaming.publish import envelope
     types = dict(envelope(flights_clean(spark, sf)).dtypes)
     assert types["timestamp"] == "timestamp" and types["headers"] == "array<struct<key:string,value:binary>>"
+
+
+def test_feed_and_sinks_are_compressed_and_hold_every_message(spark, sf, monkeypatch):
+    import glob
+    from tarmac.streaming import publish
+    monkeypatch.setattr(publish, "ROWS_A_FILE", 100)
+    messages = flight_messages(flights_clean(spark, sf))
+    feed, out = shared_path(spark, "feed-packed"), shared_path(spark, "sink-packed")
+    write_message_files(flights_clean(spark, sf), feed, 2, order="flight_id")
+    files = glob.glob(feed.removeprefix("file:") + "/batch=*/part-*")
+    assert len(files) >= messages.count() / 100 and all(f.endswith(".txt.gz") for f in files)
+    SQ.start_append(SQ.message_file_stream(spark, feed).select("value"), "packed", out,
+                    shared_path(spark, "sink-packed-ck")).awaitTermination()
+    assert all(".zstd." in f for f in glob.glob(out.removeprefix("file:") + "/part-*"))
+    live = spark.read.parquet(out)
+    assert live.count() == messages.count() and live.exceptAll(messages).count() == 0
