@@ -136,3 +136,19 @@ def test_one_hot_query_equals_vector(spark, sf):
     want = {(r.flight_id, r.n, r.i if r.i is not None and r.i >= 0 else None) for r in want.limit(400).collect()}
     got = {(r[0], r[1], r[2]) for r in q_one_hot(spark, sf).select("flight_id", f"{c} OHE_size", f"{c} OHE_index").collect()}
     assert want <= got
+
+
+def test_fits_read_a_bounded_stored_file_as_a_task(spark, sf, monkeypatch):
+    from tarmac.session import file_a_task, stored
+    rows = stored(flights_clean(spark, sf), "bounded", 500)
+    parts = lambda: [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    keys = ["spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+    before, packed = [spark.conf.get(k) for k in keys], len(parts())
+    with file_a_task(spark):
+        found = parts()
+    assert max(found) <= 500 and sum(found) == rows.count() and len(found) > packed
+    assert [spark.conf.get(k) for k in keys] == before and len(parts()) == packed
+    seen = []
+    monkeypatch.setattr(J, "FIT_ROWS", 1000)
+    monkeypatch.setattr(J, "stored", lambda df, name, n=0: seen.append(n) or stored(df, name, n))
+    assert J.cluster_job(flights_clean(spark, sf)).predictions.count() == rows.count() and seen == [1000]
