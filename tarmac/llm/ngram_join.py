@@ -369,9 +369,12 @@ def leaves_of(reps: DataFrame) -> DataFrame:
     """``key, id, s1, n, w, guest, total, pivot`` of every leaf in every tree that may hold a link, stored.
     ``pivot``: id, s1 and n of the tree's smallest class."""
     postings = reps.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("shingle"))
-    roots = stored(postings.groupBy("shingle").agg(F.min("id").alias("root"), F.max("id").alias("last"))
-                   .where("root < last").select("shingle", "root"), "roots")
-    own = stored(postings.join(broadcast_if_small(roots), "shingle").select("id", "root").distinct(), "own-trees")
+    roots = stored(postings.groupBy("shingle").agg(F.min("id").alias("root"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"))
+                   .where("root < last"), "roots")
+    # a shingle of two rows names its leaves itself; the postings are joined with those of more rows only
+    two = roots.where("rows = 2").select(F.explode(F.array("root", "last")).alias("id"), "root")
+    more = postings.join(broadcast_if_small(roots.where("rows > 2").select("shingle", "root")), "shingle").select("id", "root")
+    own = stored(two.unionByName(more).distinct(), "own-trees")
     sets = reps.select(F.col("doc_id").alias("id"), "s1", "n", "w").distinct()
     in_tree = F.explode(F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("guest")),
                                 F.struct((F.col("w") - 1).alias("w"), F.lit(True).alias("guest")))).alias("t")

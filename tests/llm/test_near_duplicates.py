@@ -224,3 +224,16 @@ def test_pivot_finds_a_group_and_traversal_the_rest(spark):
     rows.append((0, " ".join(phrase + words(rng, 2))))
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
     assert got == {0: 0} | {10 * g + k: 10 * g + 1 for g in range(30) for k in (1, 2)}
+
+
+def test_shingles_of_two_rows_name_their_leaves_without_a_join(spark, monkeypatch):
+    prefixes = [(1, [10, 11, 20]), (2, [10, 30]), (3, [20]), (4, [20]), (5, [40]), (5, [40]), (6, [50]), (6, [50]), (7, [50])]
+    reps = spark.createDataFrame([(d, d, 9, 10, p) for d, p in prefixes],
+                                 "doc_id bigint, s1 bigint, n int, w int, prefix array<bigint>")
+    joined, plain = [], ngram_join.broadcast_if_small
+    monkeypatch.setattr(ngram_join, "broadcast_if_small", lambda df: joined.append(df.count()) or plain(df))
+    trees = {}
+    for r in ngram_join.leaves_of(reps).collect():
+        trees.setdefault((r["key"], r["pivot"]["id"]), []).append(r["id"])
+    assert sorted((pivot, sorted(ids)) for (_, pivot), ids in trees.items()) == [(1, [1, 2, 3, 4]), (6, [6, 7])]
+    assert joined[0] == 2  # of the shared shingles 10, 20 and 50 only the latter two stand in more than two rows
