@@ -157,3 +157,18 @@ def test_feed_and_sinks_are_compressed_and_hold_every_message(spark, sf, monkeyp
     assert all(".zstd." in f for f in glob.glob(out.removeprefix("file:") + "/part-*"))
     live = spark.read.parquet(out)
     assert live.count() == messages.count() and live.exceptAll(messages).count() == 0
+
+
+def test_feed_is_written_without_sorting_messages_by_folder(spark, sf):
+    feed = shared_path(spark, "feed-unsorted")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    write_message_files(flights_clean(spark, sf), feed, 3, order="flight_id")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    plan = next(p for p in plans if feed.rsplit("/", 1)[-1] in p)
+    assert "WriteFiles" in plan and "Sort" not in plan
+    assert spark.conf.get(name) == before
+    read = spark.read.text(feed)
+    assert read.where("get_json_object(get_json_object(concat('[', value, ']'), '$[0]'), '$.flight_id') % 3 <> batch").isEmpty()
+    assert read.groupBy("batch").count().count() == 3
