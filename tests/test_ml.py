@@ -152,3 +152,19 @@ def test_fits_read_a_bounded_stored_file_as_a_task(spark, sf, monkeypatch):
     monkeypatch.setattr(J, "FIT_ROWS", 1000)
     monkeypatch.setattr(J, "stored", lambda df, name, n=0: seen.append(n) or stored(df, name, n))
     assert J.cluster_job(flights_clean(spark, sf)).predictions.count() == rows.count() and seen == [1000]
+
+
+def test_search_fits_untouched_stages_once(spark, clean, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    from tarmac.plans.search import untouched
+    fits, fit = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    grid = J.train_delay_classifier(clean, kind="line", grid={"threshold": [0.3, 5.2, 1000.0]}).grid.collect()
+    assert len(fits) == 2  # on the training side and, for the best, on all rows
+    metrics = {r["params"]: r["metric"] for r in grid}
+    assert len(metrics) == 3 and metrics["threshold=1000.0"] == min(metrics.values()) < max(metrics.values())
+    line, cut = MO.delay_line_stages()[1]
+    assert untouched([line, cut], MO.param_grid(cut, {"threshold": [1.0]})) == 1
+    assert untouched([line, cut], [*MO.param_grid(cut, {"threshold": [1.0]}), *MO.param_grid(line, {"regParam": [0.1]})]) == 0
+    assert untouched([line, cut], [{}]) == 2 and Pipeline(stages=[]).fit(clean).transform(clean).columns == clean.columns
