@@ -168,3 +168,32 @@ def test_search_fits_untouched_stages_once(spark, clean, monkeypatch):
     assert untouched([line, cut], MO.param_grid(cut, {"threshold": [1.0]})) == 1
     assert untouched([line, cut], [*MO.param_grid(cut, {"threshold": [1.0]}), *MO.param_grid(line, {"regParam": [0.1]})]) == 0
     assert untouched([line, cut], [{}]) == 2 and Pipeline(stages=[]).fit(clean).transform(clean).columns == clean.columns
+
+
+def test_search_fits_many_rows_one_at_a_time(clean, monkeypatch):
+    import threading
+    import time
+    from pyspark.ml.classification import LogisticRegression
+    from tarmac.plans import search
+    lock, running, most, fit = threading.Lock(), [0], [0], LogisticRegression._fit
+
+    def counted(self, rows):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.5)
+        try:
+            return fit(self, rows)
+        finally:
+            with lock:
+                running[0] -= 1
+    monkeypatch.setattr(LogisticRegression, "_fit", counted)
+    small = clean.where("flight_id % 7 = 0")
+    grids = []
+    for limit, at_once in ((search.ROWS_SIDE_BY_SIDE, 2), (10, 1)):
+        monkeypatch.setattr(search, "ROWS_SIDE_BY_SIDE", limit)
+        most[0] = 0
+        res = J.train_delay_classifier(small, kind="lr", grid={"regParam": [0.01, 0.1]})
+        assert most[0] == at_once
+        grids.append(res.grid.orderBy("params").collect())
+    assert grids[0] == grids[1] and sum((grids[0][0]["train_rows"], grids[0][0]["validation_rows"])) == small.count()
