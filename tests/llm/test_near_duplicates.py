@@ -166,6 +166,29 @@ def test_unrelated_groups_under_one_key(spark, monkeypatch, block):
     assert got == {k for k in group if group[k] != k}
 
 
+def test_long_lines_are_signed_by_all_their_shingles(spark):
+    """Copies of long lines that differ wherever an ``e`` or a digit stands share no shingle that begins with these."""
+    rng = random.Random(12)
+    rows, plain = [], lambda x: {x[i:i + 5] for i in range(len(x) - 4)}
+    for i in range(20):
+        parts = ["".join(rng.choice("abcdfgh") for _ in range(40)) for _ in range(16)]
+        rows += [(2 * i, "e".join(parts)), (2 * i + 1, "7".join(parts))]
+        x, y = plain(rows[-2][1]), plain(rows[-1][1])
+        assert 7 * len(x & y) >= 3 * (len(x) + len(y))
+    assert {r.doc_id for r in line_dedup.report(frame(spark, rows)).collect() if r.n_removed} == set(range(1, 40, 2))
+
+
+def test_shingle_hashes_are_those_of_the_set(spark):
+    lines = ["plain words, a tab\there and\x0ba form\x0cfeed", "\U0001f600 \u00e9t\u00e9 \u4f60\u597d\u4e16\u754c without blanks",
+             "\x01\x02 control characters are no blanks", "e" * 200 + " 0123456789" * 12]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
+    got = line_dedup.shingle_hashes(rows).groupBy("id").agg({"h": "count"}).collect()
+    distinct = line_dedup.shingle_hashes(rows).distinct().groupBy("id").count().collect()
+    every = {k: re.findall(rf"(?s)(?=([^{line_dedup.BLANKS}].{{0,4}}))", x) for k, x in enumerate(lines)}
+    assert {r[0]: r[1] for r in got} == {k: len(v) for k, v in every.items()}
+    assert {r[0]: r[1] for r in distinct} == {k: len(set(v)) for k, v in every.items()}
+
+
 def test_one_edit_in_a_short_line_or_without_blanks(spark):
     rng = random.Random(6)
     short = words(rng, 12)
