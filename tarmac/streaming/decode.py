@@ -40,7 +40,15 @@ def decode_flights(df: DataFrame, value: str = "value", schema: T.StructType = C
 
 
 def decode_paths(df: DataFrame, value: str = "value", schema: T.StructType = CLEAN_SCHEMA) -> DataFrame:
-    """The same fields extracted one JSON path at a time (``get_json_object`` per field),
-    all as strings -- the per-field form of :func:`payload_struct`."""
-    j = json_unescape(F.col(value).cast("string"))
-    return df.select(*[F.get_json_object(j, f"$.{f.name}").alias(f.name) for f in schema.fields])
+    """The same fields extracted one by one (as ``get_json_object`` does with a path per field),
+    all as strings -- the per-field form of :func:`payload_struct`.
+
+    ``json_tuple`` takes all members out of one reading of the text. It differs from a path in one case only, a
+    member that comes twice: the path gives the first one that is not null, the tuple the last; such texts, told
+    by their member names, are read path by path.
+    """
+    names = [f.name for f in schema.fields]
+    text = df.select(json_unescape(F.col(value).cast("string")).alias("_j"))
+    keys = F.json_object_keys("_j")
+    rows = text.select("_j", F.json_tuple("_j", *names).alias(*names)).withColumn("_twice", F.size(keys) > F.size(F.array_distinct(keys)))
+    return rows.select(*[F.when(F.col("_twice"), F.get_json_object("_j", f"$.{c}")).otherwise(F.col(c)).alias(c) for c in names])

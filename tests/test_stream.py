@@ -5,7 +5,9 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tarmac.functions.json import json_unescape
 from tarmac.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, STREAM_HIDDEN_COLUMNS
 from tarmac.session import shared_path
 from tarmac.sources.fixtures import flights_clean
@@ -172,3 +174,40 @@ def test_feed_is_written_without_sorting_messages_by_folder(spark, sf):
     read = spark.read.text(feed)
     assert read.where("get_json_object(get_json_object(concat('[', value, ']'), '$[0]'), '$.flight_id') % 3 <> batch").isEmpty()
     assert read.groupBy("batch").count().count() == 3
+
+
+def test_packed_feed_holds_every_message_and_is_smaller(spark, sf):
+    import glob
+    import os
+    clean = flights_clean(spark, sf)
+    messages, size = flight_messages(clean), {}
+    for packed in (False, True):
+        feed, out = shared_path(spark, "feed-both"), shared_path(spark, "sink-both")
+        write_message_files(clean.repartition(2), feed, 2, order="flight_id", packed=packed)
+        size[packed] = sum(map(os.path.getsize, glob.glob(feed.removeprefix("file:") + "/batch=*/part-*")))
+        stream = SQ.message_file_stream(spark, feed, 1, packed=packed)
+        assert dict(stream.dtypes) == {"value": "string", "batch": "int"}
+        SQ.start_append(stream, "both", out, shared_path(spark, "both-ck")).awaitTermination()
+        live = spark.read.parquet(out)
+        assert live.count() == messages.count() and live.select("value").exceptAll(messages).count() == 0
+        assert live.where("get_json_object(get_json_object(concat('[', value, ']'), '$[0]'), '$.flight_id') % 2 <> batch").isEmpty()
+    assert size[True] < 0.8 * size[False]
+
+
+def test_envelope_sink_is_packed(spark, sf):
+    import __spark_entry__ as entry
+    read = entry.queries()["sql_read_sink"](spark, sf)
+    assert read.inputFiles() and all(".zstd." in f for f in read.inputFiles())
+
+
+def test_decode_paths_reads_odd_messages_as_paths_do(spark):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    texts = ['{"a":"1","b":"x"}', '{"a":null,"b":"x"}', '{"a":"1","a":"2"}', '{"a":null,"a":"2","b":"3"}', '{"a":"2","a":null}',
+             '{"a":{"k":1},"b":[1, 2]}', '{"a":"1","b":', '{"a":"1"} tail', '[{"a":"1"}]', "[]", "{}", "null", "", "x", None,
+             '{"a":1.0,"b":1e5}', '{"b":"1","b":"2","a":true}', '{"c":{"a":"9","a":"8"},"a":"1"}', '{"a":""}']
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    paths = df.select(*[F.get_json_object(json_unescape("value"), f"$.{c}").alias(c) for c in ("a", "b")])
+    got = decode_paths(df, schema=schema)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, paths.collect()), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple" in plan  # one reading of a message, not one a field
