@@ -178,6 +178,30 @@ def test_long_lines_are_signed_by_all_their_shingles(spark):
     assert {r.doc_id for r in line_dedup.report(frame(spark, rows)).collect() if r.n_removed} == set(range(1, 40, 2))
 
 
+def test_leaves_of_shared_keys(spark):
+    """Every line of a key that several share comes once, with the key's smallest and largest; the postings are shuffled once."""
+    signed = spark.createDataFrame([(k, [k % 3, 100 + k % 50, 1000 + k]) for k in range(200)], "id bigint, keys array<bigint>")
+    got = line_dedup.leaves_of(signed)
+    want = {(key, k, *ends(members)) for key, members in _by_key(signed.collect()).items() if len(members) > 1 for k in members}
+    assert len(want) == 400 and sorted(map(tuple, got.select("key", "id", "root", "last").collect())) == sorted(want)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    plan = next(p for p in plans if got.inputFiles()[0].split("/")[-2] in p).split("Initial Plan")[0]
+    assert "Join" not in plan and len(set(re.findall(r"Exchange \((\d+)\)", plan))) == 1
+
+
+def ends(members):
+    return min(members), max(members)
+
+
+def _by_key(rows):
+    found = {}
+    for r in rows:
+        for key in r["keys"]:
+            found.setdefault(key, []).append(r["id"])
+    return found
+
+
 def test_shingle_hashes_are_those_of_the_set(spark):
     lines = ["plain words, a tab\there and\x0ba form\x0cfeed", "\U0001f600 \u00e9t\u00e9 \u4f60\u597d\u4e16\u754c without blanks",
              "\x01\x02 control characters are no blanks", "e" * 200 + " 0123456789" * 12]
